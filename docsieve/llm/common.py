@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 U64 = np.uint64
 
 # --------------------------------------------------------------------------- tables
@@ -19,7 +21,7 @@ U64 = np.uint64
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
