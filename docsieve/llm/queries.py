@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, toxicity, warc
+from . import embeddings, packing, toxicity, warc
 from .common import table
 
 
@@ -21,10 +21,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_toxicity": op5_toxicity, "op9_warc": op9_warc}
+QUERIES = {"op2_packing": op2_packing, "op5_toxicity": op5_toxicity, "op8_embeddings": op8_embeddings, "op9_warc": op9_warc}
 ORACLE: dict[str, str] = {}
