@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, packing, toxicity, warc
+from . import decontaminate, embeddings, licenses, packing, toxicity, warc
 from .common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -30,5 +39,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_packing": op2_packing, "op5_toxicity": op5_toxicity, "op8_embeddings": op8_embeddings, "op9_warc": op9_warc}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op8_embeddings": op8_embeddings,
+    "op9_warc": op9_warc,
+}
+ORACLE: dict[str, str] = {"op1_licenses": licenses.oracle(), "op3_decontamination": decontaminate.oracle()}
