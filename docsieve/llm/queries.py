@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, packing, toxicity, warc
+from . import decontaminate, embeddings, licenses, lm, packing, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
@@ -46,5 +50,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op8_embeddings": op8_embeddings,
     "op9_warc": op9_warc,
+    "op10_lm": op10_lm,
 }
 ORACLE: dict[str, str] = {"op1_licenses": licenses.oracle(), "op3_decontamination": decontaminate.oracle()}
