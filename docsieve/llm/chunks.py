@@ -52,7 +52,8 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def block(*arrays: np.ndarray) -> bytes:
-    parts = [pack(a) for a in arrays]
+    """Several columns of one length; one of two dimensions is kept by rows."""
+    parts = [bytes([a.shape[1] if a.ndim > 1 else 1]) + pack(a.reshape(-1)) for a in arrays]
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
@@ -60,7 +61,8 @@ def unblock(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + 4], "little")
-        out.append(unpack(data[at + 4 : at + 4 + n]))
+        a, width = unpack(data[at + 5 : at + 4 + n]), data[at + 4]
+        out.append(a.reshape(-1, width) if width > 1 else a)
         at += 4 + n
     return out
 
