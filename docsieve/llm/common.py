@@ -164,10 +164,8 @@ def shingles(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
         return words, row
     m = len(words)
     total = np.zeros(m, U64)
-    mul = U64(1)
     for k in range(n):
-        total[: m - k] += words[k:] * mul if k else words
-        mul = mul * U64(0xA0761D6478BD642F) if k < n - 1 else mul
+        total[: m - k] += words[k:] * U64(pow(0xA0761D6478BD642F, k, 2**64))
     last = np.zeros(m, bool)
     if m >= n:
         last[: m - n + 1] = row[: m - n + 1] == row[n - 1 :]
@@ -178,11 +176,11 @@ def shingles(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
         first = np.searchsorted(row, short)
         extra = []
         for r, f in zip(short, first):
-            x = U64(0x1234567)
+            x = np.full(1, 0x1234567, U64)
             for k in range(size[r]):
-                x = mix(np.array([x + words[f + k] * U64(0xE7037ED1A0B428DB)], U64))[0]
+                x = mix(x + words[f + k : f + k + 1] * U64(0xE7037ED1A0B428DB))
             extra.append(x)
-        out, own = np.concatenate([out, np.array(extra, U64)]), np.concatenate([own, short])
+        out, own = np.concatenate([out, *extra]), np.concatenate([own, short])
         order = np.argsort(own, kind="stable")
         out, own = out[order], own[order]
     return out, own

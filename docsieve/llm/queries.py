@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, lm, packing, suffixes, toxicity, warc
+from . import decontaminate, embeddings, jaccard, licenses, lm, packing, suffixes, toxicity, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_suffixes": op6_suffixes,
     "op8_embeddings": op8_embeddings,
