@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, licenses, lm, packing, suffixes, toxicity, warc
+from . import decontaminate, embeddings, jaccard, language, licenses, lm, packing, suffixes, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_suffixes": op6_suffixes,
+    "op7_language": op7_language,
     "op8_embeddings": op8_embeddings,
     "op9_warc": op9_warc,
     "op10_lm": op10_lm,
