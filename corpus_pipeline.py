@@ -1,12 +1,80 @@
-"""The corpus pipeline: each stage reads what the stage before it wrote."""
+"""The corpus pipeline: documents to packed token sequences, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read as the next one's docs.
+All but the last return the columns of documents. Rows are told apart by a hash of their id and text, so ids may be
+null or repeated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsieve.llm import decontaminate, jaccard, packing, suffixes, toxicity
+from docsieve.llm.common import scratch_path, table
+from docsieve.llm.words import ascii_lower
+from docsieve.session import ship
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, "__toxicity")
+    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, once."""
+    ship(spark)
+    found = jaccard.joined(docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("__mark")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64("doc_id", F.col("text").cast("string")))
+    return marked.join(kept, "__mark", "left_semi").dropDuplicates(["__mark"]).select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat are cut out of the texts; a character that loses a byte goes with it."""
+    ship(spark)
+    found = suffixes.removed(docs, carry=True)
+    out = found.select("rest", F.col("kept_text").alias("__text"))
+    own = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != "text"}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(F.col("__text") if c == "text" else own[c]).alias(c) for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark contaminates go."""
+    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select(F.col("mark").alias("__mark")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return marked.join(gone, "__mark", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    ship(spark)
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard", jaccard_stage),
+    ("suffix_dedup", suffix_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: Training, hashing of sets and suffixes, and tokenising have no SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = scratch_path(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -25,12 +25,13 @@ SENT = "bucket int, chunk int, kind int, data binary"
 RETURNED = "chunk int, bucket int, kind int, data binary"
 
 
-def chunked(docs: DataFrame, target: int = TARGET, least: int = LEAST) -> tuple[DataFrame, int]:
-    """doc_id, text, chunk; and how many buckets suit the input (a power of two)."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def chunked(docs: DataFrame, carry: bool = False, target: int = TARGET, least: int = LEAST) -> tuple[DataFrame, int]:
+    """doc_id, text, mark (a hash of both), chunk, and with carry the other columns as a struct ``rest``; and how many buckets suit the input (a power of two)."""
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")] if carry else []
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("mark"), *rest)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(least, math.ceil(total / target))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), 1 << max(6, math.ceil(math.log2(max(1, total / target))))
+    return rows.withColumn("chunk", F.pmod("mark", F.lit(n)).cast("int")), 1 << max(6, math.ceil(math.log2(max(1, total / target))))
 
 
 def pack(a: np.ndarray) -> bytes:

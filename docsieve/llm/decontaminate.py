@@ -98,14 +98,14 @@ def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW, rarest: int =
 
 
 def report(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each document."""
+    """doc_id, mark (a hash of the lower-cased text), n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each document."""
     found, wins = hits(docs, items, **options)
     rows = settled(found.select("doc_id", "mark", "n_words", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")))
     owners = wins.select("wid", "item_id").distinct()
     named = rows.filter(F.size("wids") > 0).select("doc_id", "mark", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     named = named.withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
     out = rows.join(named, (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "mark", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 4, length: int = WINDOW, rarest: int = 3, most: int = MOST) -> DataFrame:

@@ -64,7 +64,7 @@ def fragment(df: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """doc_id, size, cls; and for the first row of a class that can have partners: need, grams (those shared, in the global order), segments."""
+    """doc_id, mark, size, cls; and for the first row of a class that can have partners: need, grams (those shared, in the global order), segments."""
     rows, buckets = chunked(docs)
     num, den = threshold
 
@@ -104,13 +104,13 @@ def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
             segments.append([{"part": int(p[a]), "grams": x[a:b]} for a, b in zip(cut[:-1], cut[1:])])
         many = pa.list_(pa.struct([("part", pa.int32()), ("grams", pa.list_(pa.int64()))]))
         return pa.Table.from_arrays(
-            [table.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(left.astype(np.int64)), pa.array(grams, pa.list_(pa.int64())), pa.array(segments, many)],
-            ["doc_id", "size", "cls", "shared", "prefix", "segments"],
+            [table.column("doc_id"), table.column("mark"), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(left.astype(np.int64)), pa.array(grams, pa.list_(pa.int64())), pa.array(segments, many)],
+            ["doc_id", "mark", "size", "cls", "shared", "prefix", "segments"],
         )
 
     counts = answered(rows.groupBy("chunk").applyInArrow(name, SENT))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(order, f"doc_id {kind}, size long, cls long, shared long, prefix array<long>, segments array<struct<part:int,grams:array<bigint>>>")
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(order, f"doc_id {kind}, mark long, size long, cls long, shared long, prefix array<long>, segments array<struct<part:int,grams:array<bigint>>>")
 
 
 def needed(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
@@ -135,7 +135,7 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int]) ->
 
 
 def joined(docs: DataFrame, n: int = SIZE, threshold: tuple[int, int] = THRESHOLD, stars: int = STARS) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each document."""
+    """doc_id, mark (a hash of id and text), n_shingles, component_id: a row for each document."""
     rows = stored(described(docs, n, threshold), "sets")
     classes = rows.filter("prefix IS NOT NULL").select("cls", "size", "shared", "prefix", "segments").dropDuplicates(["cls"])
     classes = stored(classes, "classes")
@@ -170,12 +170,12 @@ def joined(docs: DataFrame, n: int = SIZE, threshold: tuple[int, int] = THRESHOL
         found = links if found is None else settled(found.unionByName(links))
         comps = components(found).withColumnsRenamed({"node": "cls", "component": "comp"})
         comps = settled(comps)
-    own = rows.select("doc_id", "size", "cls")
+    own = rows.select("doc_id", "mark", "size", "cls")
     if comps is not None:
         own = spread_join(own, comps, ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
     else:
         own = own.withColumn("comp", F.col("cls"))
-    own = own.select("doc_id", "size", "comp")
+    own = own.select("doc_id", "mark", "size", "comp")
     least = own.filter("size > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = spread_join(own, least, ["comp"], "left")
-    return named.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("doc_id", "mark", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -24,7 +24,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.joined(table(spark, sf_dir, "documents"))
+    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .chunks import SENT, add_up, answered, chunked, read_back, sent, sent_table
 from .common import _BYTE, U64, mix, powers, texts
@@ -193,9 +194,11 @@ def suffix_classes(buf: np.ndarray, starts: np.ndarray, length: int, shallow: in
     return order, group
 
 
-def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (array of (start, end) bytes removed), kept (binary): a row for each document."""
-    rows, buckets = chunked(docs)
+def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (array of (start, end) bytes removed), kept (binary): a row for each document.
+
+    With carry also ``rest``, a struct of the document's columns but the text, and ``kept_text``, without the bytes that cuts leave of a character."""
+    rows, buckets = chunked(docs, carry)
 
     def stretches(table: pa.Table) -> pa.Table:
         c = Chunk(table.column("text"), length, anchor)
@@ -262,11 +265,19 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
             mask = gone[i:j]
             turn = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
             kept.append(own[~mask].tobytes()), spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2])])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.Table.from_arrays([table.column("doc_id"), pa.array(n), pa.array(lost.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        out = [table.column("doc_id"), pa.array(n), pa.array(lost.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pairs), pa.array(kept, pa.binary())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+        if carry:
+            out += [table.column("rest"), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+            names += ["rest", "kept_text"]
+        return pa.Table.from_arrays(out, names)
+
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    kind = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("spans", ArrayType(span)), StructField("kept", BinaryType())])
+    if carry:
+        kind = kind.add("rest", rows.schema["rest"].dataType).add("kept_text", StringType())
+    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, kind)
 
 
 def _scrambled(content: np.ndarray) -> np.ndarray:
