@@ -101,7 +101,10 @@ def _roles(lines: list[str], latest: int) -> list[dict]:
         if not found:
             continue
         m = D.RANGE.search(line) or D.SINCE.search(line)
-        title, employer = _split_role(re.sub(r"\(\s*\)", "", line[: m.start()] + " " + line[m.end() :]))
+        rest = re.sub(r"\(\s*\)", "", line[: m.start()] + " " + line[m.end() :])
+        if rest.strip(" \t,|–—-·").lower() in V.LEAVE:
+            continue
+        title, employer = _split_role(rest)
         for j in (i - 1, i - 2, i + 1):
             if title and employer:
                 break
