@@ -25,7 +25,7 @@ from .words import LOWER, UPPER, ascii_lower, words
 THRESHOLD = 0.9
 #: Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, notice): well-known notices of public licenses.
+#: (label, notice): well-known notices of public licenses. None holds all words of another's: containment could not tell them apart.
 NOTICES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -39,8 +39,6 @@ NOTICES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
 )
 
 
