@@ -6,7 +6,7 @@ each other by cosine in double precision. Equal vectors are one class first. A l
 is split into blocks, and each pair of blocks is a task of its own, so no list is held whole and none is cut short.
 A pair that meets in several lists counts in the first list that both are in.
 
-The pivots are a bounded sample (``pivots`` vectors, by a hash of their id); every vector is indexed. Only rows of the
+The pivots are chosen from a bounded sample (of 8 * ``pivots`` vectors, by a hash of their id); every vector is indexed. Only rows of the
 same label (not null) and the same dimension are compared. Vectors that are null, zero, or hold null or non-finite
 components link with nothing, and so do rows without a vec_id. Repeated rows are vectors of their own.
 """
@@ -25,7 +25,7 @@ from .common import settled
 from .components import components, spread_join
 
 THRESHOLD = 0.93
-PIVOTS, DEPTH, SHARED, BLOCK = 256, 7, 2, 2048
+PIVOTS, DEPTH, SHARED, BLOCK, APART = 256, 7, 2, 2048, 0.7
 
 
 def comparable(embeddings: DataFrame) -> DataFrame:
@@ -38,12 +38,23 @@ def comparable(embeddings: DataFrame) -> DataFrame:
 
 
 def pivot_sets(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """For each dimension, unit reference points: at most ``pivots`` vectors with the smallest hashes of their ids."""
-    rows = classes.select("v", "dim").orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(r["dim"], []).append(r["v"])
-    return {d: (m := np.array(v)) / np.linalg.norm(m, axis=1)[:, None] for d, v in out.items()}
+    """For each dimension, at most ``pivots`` unit reference points that lie apart.
+
+    They come from a sample of 8 * pivots vectors, those with the smallest hashes of their ids. A vector near a point that
+    is already chosen is passed over: of a crowd of near copies one is a pivot, else its members would differ in theirs."""
+    rows = classes.select("v", "dim").orderBy(F.xxhash64("rep"), "rep").limit(8 * pivots).collect()
+    out: dict[int, np.ndarray] = {}
+    for d in {r["dim"] for r in rows}:
+        m = np.array([r["v"] for r in rows if r["dim"] == d], float).reshape(-1, d)
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        near = np.zeros(len(m), bool)
+        chosen: list[int] = []
+        for i in range(len(m)):
+            if not near[i] and len(chosen) < pivots:
+                chosen.append(i)
+                near |= m @ m[i] > APART
+        out[d] = m[chosen]
+    return out
 
 
 def postings(classes: DataFrame, sets: dict[int, np.ndarray], depth: int, shared: int) -> DataFrame:
