@@ -43,6 +43,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A chunk's rows in an order of their own: a shuffle brings them in any order, and stretches are cut by place."""
+    return table.take(pa.array(np.argsort(table.column("mark").to_numpy(), kind="stable")))
+
+
 class Chunk:
     """Texts of a chunk with their stretches: first and last window, anchor hash, and hash of the content."""
 
@@ -201,6 +206,7 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     rows, buckets = chunked(docs, carry)
 
     def stretches(table: pa.Table) -> pa.Table:
+        table = ordered(table)
         c = Chunk(table.column("text"), length, anchor)
         return sent_table(sent(table.column("chunk")[0].as_py(), STRETCHES, c.keys, c.counts, buckets, _scrambled(c.contents)))
 
@@ -221,6 +227,7 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     def windows(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent_table([])
+        table = ordered(table)
         c = Chunk(table.column("text"), length, anchor)
         if not len(c.keys):
             return sent_table([])
@@ -235,6 +242,7 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(windows, SENT))
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
+        table = ordered(table)
         c = Chunk(table.column("text"), length, anchor)
         edge = np.zeros(len(c.buf) + 1, np.int64)
         if len(c.keys):
