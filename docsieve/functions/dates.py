@@ -46,6 +46,37 @@ def date_family(text: Column) -> Column:
     )
 
 
+def parse_date(text: Column, order: str = "DMY") -> Column:
+    """A written date as (year, month): ISO, named, numeric by the order unless a part above 12 tells, or a bare year."""
+    low = F.lower(F.trim(text))
+    iso_year, iso_month = (F.regexp_extract(low, r"^((?:19|20)[0-9]{2})-([0-9]{1,2})(?:-[0-9]{1,2})?$", k) for k in (1, 2))
+    named_month, named_year = (F.regexp_extract(low, rf"^(?:[0-9]{{1,2}}\.? )?({_NAMES})[a-z]*\.?,? (?:[0-9]{{1,2}},? )?((?:19|20)[0-9]{{2}})$", k) for k in (1, 2))
+    short_month, short_year = (F.regexp_extract(low, r"^([0-9]{1,2})[/.]((?:19|20)[0-9]{2})$", k) for k in (1, 2))
+    a, b, full_year = (F.regexp_extract(low, r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]((?:19|20)[0-9]{2})$", k) for k in (1, 2, 3))
+    first, second = a.try_cast("int"), b.try_cast("int")
+    full_month = F.when(first > 12, second).when(second > 12, first).otherwise(second if order == "DMY" else first)
+    year = F.regexp_extract(low, r"^((?:19|20)[0-9]{2})$", 1)
+    number = F.lit(None).cast("int")
+    for i, m in enumerate(MONTHS, 1):
+        number = F.when(named_month == m[:3], F.lit(i)).otherwise(number)
+    made = lambda y, m: F.struct(y.try_cast("int").alias("year"), F.when(m.between(1, 12), m).alias("month"))
+    return (
+        F.when(iso_year != "", made(iso_year, iso_month.try_cast("int"))).when(named_year != "", made(named_year, number)).when(short_year != "", made(short_year, short_month.try_cast("int")))
+        .when(full_year != "", made(full_year, full_month)).when(year != "", made(year, F.lit(None).cast("int")))
+    )
+
+
+def full_year(two: Column, latest: int) -> Column:
+    """The century of a two-digit year: the last one that does not pass ``latest``."""
+    year = F.lit(latest - latest % 100) + two
+    return F.when(year > latest, year - 100).otherwise(year)
+
+
+def written_years(text: Column) -> Column:
+    """The years that a text states, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))))
+
+
 def years_asked(text: Column) -> Column:
     """How many years a line asks for: digits or a number word, the lower end of a range."""
     low = F.lower(text)

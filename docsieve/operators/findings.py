@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..policy import vocabulary as V
+from . import roles
 from . import segment as S
 
 NUMBER = r"[$€£₹%]|[0-9]"
@@ -53,6 +54,7 @@ def document_metrics(docs: DataFrame) -> DataFrame:
         "doc_id", n.cast("double").alias("wordCount"), n.cast("double").alias("readableWords"), contains_any(t, V.BUZZWORDS).cast("double").alias("buzzwordCount"),
         T.invisible_count(t).cast("double").alias("invisibleCharacters"), F.size(homoglyph_words(t)).cast("double").alias("homoglyphWords"), injections(t).cast("double").alias("injectionPhrases"),
         email.cast("double").alias("emailPresent"), F.round((email.cast("double") + phone.cast("double")) / 3, 6).alias("contactCompleteness"),
+        roles.birth_stated(t).cast("double").alias("dateOfBirthStated"),
         F.when(email | phone, F.round(F.least(F.coalesce(at_email, at_phone), F.coalesce(at_phone, at_email)) / F.length(t), 6)).alias("contactPosition"),
     )
 
@@ -120,6 +122,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """doc_id, metric, value: all signals that a text alone gives."""
     rows = S.lines(docs)
     wide = document_metrics(docs).join(line_metrics(rows), "doc_id", "left").join(repeated_openers(rows), "doc_id", "left")
+    wide = wide.join(roles.bullets_per_role(rows), "doc_id", "left").join(roles.tense_mismatches(rows), "doc_id", "left").join(roles.date_formats(rows), "doc_id", "left")
     wide = wide.join(stuffed(docs).groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("stuffed")), "doc_id", "left").withColumn("stuffedTerms", F.coalesce("stuffed", F.lit(0.0))).drop("stuffed")
     names = [c for c in wide.columns if c != "doc_id"]
     return wide.unpivot("doc_id", names, "metric", "value").filter("value IS NOT NULL")

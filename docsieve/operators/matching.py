@@ -60,6 +60,52 @@ def matches(asked: DataFrame, held: DataFrame, key: str = "conv_id") -> DataFram
     return asked.join(held.select(key, "token").distinct().withColumn("found", F.lit(True)), [key, "token"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def slash_parts(token: Column, named=("ci/cd", "tcp/ip", "a/b")) -> Column:
+    """A compound's parts, unless it is a name of its own."""
+    return F.when(token.isin(list(named)) | ~F.contains(token, F.lit("/")), F.array(token)).otherwise(F.filter(F.split(token, "/"), lambda x: x != ""))
+
+
+def unlinked(text: Column) -> Column:
+    """A text whose addresses are blanks, so that their parts are no terms."""
+    return F.regexp_replace(F.regexp_replace(text, T.LINK, " "), T.EMAIL, " ")
+
+
+def proper_nouns(text: Column) -> Column:
+    """Words with a capital inside a sentence, capitals only, or a capital inside."""
+    inner = T.extract_all(text, r"(?<![.!?\n•]\s)(?<=\s)\p{Lu}[\p{L}\p{N}+#.-]*[\p{L}\p{N}+#]")
+    return F.array_distinct(F.concat(inner, T.extract_all(text, r"(?<![\p{L}\p{N}])\p{Lu}{2,6}(?![\p{L}\p{N}])"), T.extract_all(text, r"(?<![\p{L}\p{N}])\p{Ll}+\p{Lu}[\p{L}\p{N}]*")))
+
+
+def alternatives(line: Column, most: int = 8) -> Column:
+    """Groups of a line that any member meets, as "A, B or C" or "A/B": arrays of two to eight parts."""
+    run = T.extract_all(line, r"[\p{L}\p{N}+#.-]+(?:, [\p{L}\p{N}+#.-]+)*,? or [\p{L}\p{N}+#.-]+|[\p{L}\p{N}+#]{2,}(?:/[\p{L}\p{N}+#]{2,})+")
+    parts = F.transform(run, lambda x: F.filter(F.split(F.lower(x), r",? or |, |/"), lambda w: w != ""))
+    return F.filter(parts, lambda p: F.size(p).between(2, most))
+
+
+def alternative_roots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, token, root: tokens of one group share a root; a token's first group wins, groups that share it are one."""
+    groups = rows.select(key, "line_no", F.posexplode(alternatives(F.col("line"))).alias("g", "parts"))
+    each = groups.select(key, "line_no", "g", F.explode("parts").alias("token"), F.array_min("parts").alias("root"))
+    first = F.row_number().over(Window.partitionBy(key, "token").orderBy("line_no", "g"))
+    return each.withColumn("r", first).filter("r = 1").select(key, "token", "root")
+
+
+def degree_terms(rows: DataFrame, highest: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, isced, weight, found: the levels a posting asks for, met by that level or a higher one. rows: key, line, weight; highest: key, highest_isced."""
+    from .extract import degree_level
+
+    asked = rows.withColumn("isced", degree_level(F.col("line"))).filter("isced IS NOT NULL").groupBy(key, "isced").agg(F.max("weight").alias("weight"))
+    return asked.join(highest, key, "left").select(key, "isced", "weight", F.coalesce(F.col("highest_isced") >= F.col("isced"), F.lit(False)).alias("found"))
+
+
+def listed(rows: DataFrame, key: str = "conv_id", n: int = 12) -> DataFrame:
+    """Terms as a report shows them: soft skills last, skills first, the heaviest first, twelve a list."""
+    order = F.when(F.col("token").isin(list(V.SOFT)), 2).when(F.col("token").isin(list(V.SKILLS)), 0).otherwise(1)
+    rank = F.row_number().over(Window.partitionBy(key, "found").orderBy(order, F.desc("weight"), "token"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 def match_score(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, score, matched, total: the share of asked weight that is met, 0 to 100."""
     out = rows.groupBy(key).agg(F.sum("weight").alias("asked"), F.sum(F.when(F.col("found"), F.col("weight")).otherwise(0.0)).alias("met"), F.count_if("found").alias("matched"), F.count(F.lit(1)).alias("total"))

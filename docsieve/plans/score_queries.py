@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import extract, matching, repair, requirements, scoring
+from ..operators import extract, matching, repair, requirements, roles, scoring
 from ..operators import findings as C
 from ..policy import rules as R
 from ..policy import vocabulary as V
 from . import report
-from .registry import Q, fixture, query
+from .registry import Q, fixture, query, sql_list
 from .text_queries import BUZZ, HEADING, HOMO, INJ, LINES, N_WORDS, OPENERS, PASSIVE, PRONOUN, STUFFED, VERB_HEAD
 
 E_, P_ = Q(T.EMAIL), Q(T.PHONE)
@@ -20,16 +20,25 @@ KIND = {k: f"({HEADING} and regexp_matches(lower(line), {Q(f'^(?:my |work |profe
 FIRST_KIND = "case " + " ".join(f"when {KIND[k]} then {Q(k)}" for k, _ in V.HEADINGS) + " else '' end"
 WEAK = " or ".join(f"starts_with(lower(line), {Q(p)})" for p in V.WEAK)
 RATIO = "case when sum((c)::int) > 0 then round(sum((c and {0})::int)::double / sum((c)::int), 6) end"
+NAMES = "|".join(m[:3] for m in V.MONTHS)
+FAMILY = f"case when regexp_matches(lower(line), {Q(rf'\b(?:{NAMES})[a-z]*\.? +(?:19|20)[0-9]{{2}}')}) then 'named' when regexp_matches(line, {Q(r'\b[0-9]{1,2}[/.](?:19|20)[0-9]{2}')}) then 'numeric' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}-[0-9]{2}\b')}) then 'iso' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}\b')}) then 'year' end"
+BIRTH = Q(r"(?i)(?:date of birth|born on|d\.o\.b\.?|\bdob\b|geburtsdatum|date de naissance|fecha de nacimiento)[^\n]{0,40}?(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}){1,2}|(?:19|20)[0-9]{2})")
 FINDINGS = f"""(with d as (select doc_id, text, regexp_extract(text, {E_}) <> '' as e, regexp_extract(text, {P_}) as p from documents),
 dm as (select doc_id, len(regexp_extract_all(lower(text), {Q(T.WORD)}))::double as "wordCount", "wordCount" as "readableWords", ({BUZZ})::double as "buzzwordCount", len(regexp_extract_all(text, {Q(T.HIDDEN)}))::double as "invisibleCharacters",
-  len({HOMO})::double as "homoglyphWords", ({INJ})::double as "injectionPhrases", e::int::double as "emailPresent", round((e::int + (p <> '')::int) / 3.0::double, 6)::double as "contactCompleteness",
+  len({HOMO})::double as "homoglyphWords", ({INJ})::double as "injectionPhrases", e::int::double as "emailPresent", regexp_matches(text, {BIRTH})::int::double as "dateOfBirthStated", round((e::int + (p <> '')::int) / 3.0::double, 6)::double as "contactCompleteness",
   case when e or p <> '' then round(least(case when e then strpos(text, '@') end, case when p <> '' then strpos(text, p) end)::double / length(text), 6) end as "contactPosition" from d),
 l as (select doc_id, line, {N_WORDS} >= 4 as c, {N_WORDS} as n, {FIRST_KIND} as kind from {LINES}),
 lm as (select doc_id, {RATIO.format(f"regexp_matches(line, {Q(C.NUMBER)})")} as "metricsRatio", {RATIO.format(VERB_HEAD)} as "actionVerbRatio", {RATIO.format(f"regexp_matches(lower(line), {PASSIVE})")} as "passiveVoiceRatio",
   sum(regexp_matches(line, {Q(C.SPACED)})::int)::double as "letterSpacedLines", sum(({PRONOUN})::int)::double as "firstPersonLines", sum(({WEAK})::int)::double as "weakOpeners", sum((n > 40)::int)::double as "longBullets",
   max((kind = 'experience')::int)::double as "experienceHeading", max((kind = 'education')::int)::double as "educationHeading", max((kind = 'skills')::int)::double as "skillsHeading" from l group by doc_id),
+rb as (select * from (select doc_id, line_no, line, {N_WORDS} as n, regexp_matches(line, '(?:19|20)[0-9]{{2}}') as dated, regexp_matches(line, {Q(T.BULLET + '[^ ]')}) as bullet,
+  (sum(regexp_matches(line, '(?:19|20)[0-9]{{2}}')::int) over (partition by doc_id order by line_no rows unbounded preceding)) as role_no from {LINES}) where role_no > 0),
+rc as (select *, max(case when dated then regexp_matches(line, {Q(roles.OPEN)})::int end) over (partition by doc_id, role_no) = 1 as current from rb),
+bp as (select doc_id, sum((b not between 2 and 8)::int)::double as "bulletsPerRole" from (select doc_id, role_no, sum(bullet::int) as b from rc group by all) where b > 0 group by doc_id),
+tm as (select doc_id, sum((not current and bullet and list_contains({sql_list(V.PRESENT)}, w) and not list_contains({sql_list(V.VERBS)}, w))::int)::double as "tenseMismatches" from (select *, coalesce(regexp_extract_all(lower(regexp_replace(line, {Q(T.BULLET)}, '')), {Q(T.WORD)})[1], '') as w from rc) group by doc_id),
+df as (select doc_id, count(distinct {FAMILY})::double as "dateFormats" from rc where dated group by doc_id having count(*) >= 2),
 st as (select doc_id, count(*)::double as n from {STUFFED} group by doc_id),
-w as (select dm.*, lm.* exclude (doc_id), o."repeatedOpeners", coalesce(st.n, 0)::double as "stuffedTerms" from dm left join lm using (doc_id) left join {OPENERS} o using (doc_id) left join st using (doc_id))
+w as (select dm.*, lm.* exclude (doc_id), o."repeatedOpeners", bp."bulletsPerRole", tm."tenseMismatches", df."dateFormats", coalesce(st.n, 0)::double as "stuffedTerms" from dm left join lm using (doc_id) left join {OPENERS} o using (doc_id) left join st using (doc_id) left join bp using (doc_id) left join tm using (doc_id) left join df using (doc_id))
 select doc_id, metric, value from (unpivot w on columns(* exclude (doc_id)) into name metric value value) where value is not null)"""
 RULES, BANDS = R.rules_sql(), R.bands_sql()
 RESULTS = f"""(select f.doc_id, r.ord, r.rule_id, r.category, r.severity, r.penalty, r.max_weight::double as max_weight, f.value, b.weight::double as lost, b.weight = 0 as passed
@@ -284,10 +293,9 @@ def format_tenure(spark, t):
 
 
 WRITTEN = [(1, "Jan 2020 – Mar 2023"), (2, "01/2020 - 03/2023"), (3, "2020-01 to 2023-03"), (4, "2020 - 2023"), (5, "no date"), (6, "March. 2021")]
-NAMES = "|".join(m[:3] for m in V.MONTHS)
 
 
-@query("date_formats", f"select id, case when regexp_matches(lower(line), {Q(rf'\b(?:{NAMES})[a-z]*\.? +(?:19|20)[0-9]{{2}}')}) then 'named' when regexp_matches(line, {Q(r'\b[0-9]{1,2}[/.](?:19|20)[0-9]{2}')}) then 'numeric' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}-[0-9]{2}\b')}) then 'iso' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}\b')}) then 'year' end as family from {fixture(WRITTEN, 'id, line', True)}")
+@query("date_formats", f"select id, {FAMILY} as family from {fixture(WRITTEN, 'id, line', True)}")
 def date_formats(spark, t):
     return spark.createDataFrame(WRITTEN, "id long, line string").select("id", D.date_family(F.col("line")).alias("family"))
 

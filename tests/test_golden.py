@@ -200,3 +200,46 @@ def test_advice(spark):
     assert {a["id"] for a in advice.file_advice(row).first()["advice"]} == {"file.name", "file.size", "file.password", "file.comments"}
     with pytest.raises(ValueError):
         advice.target_note("nothing")
+
+
+def test_roles(spark):
+    from docsieve.operators import roles
+
+    text = "Analyst, Acme 2019 - 2021\n- Lead the team\n- Built a tool\nEngineer, Beta Jan 2021 - Present\n- Lead it"
+    rows = S.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert roles.tense_mismatches(rows).first()["tenseMismatches"] == 1 and roles.bullets_per_role(rows).first()["bulletsPerRole"] == 1 and roles.date_formats(rows).first()["dateFormats"] == 2
+    spans = spark.createDataFrame([(1, 100, 110), (1, 100, 110), (1, 105, 120), (1, 999, None), (2, 100, 800)], "doc_id long, start int, end int")
+    assert {r["doc_id"]: r["timelineIssues"] for r in roles.timeline_issues(spans, 900).collect()} == {1: 2.0, 2: 1.0}
+    one = spark.createDataFrame([("Date of birth: 01.02.1990",), ("born in Rome",), ("E X P E R I E N C E",)], "t string").select(roles.birth_stated(F.col("t")), roles.letter_joined(F.col("t"))).collect()
+    assert [r[0] for r in one] == [True, False, False] and one[2][1] == "EXPERIENCE"
+    lines = spark.createDataFrame([("Salary: 50k",), ("€60,000 per year",), ("Smith et al. (2020)",), ("plain",)], "t string").select(roles.offer_line(F.col("t")), roles.citation_line(F.col("t"))).collect()
+    assert [tuple(r) for r in lines] == [(True, False), (True, False), (False, True), (False, False)]
+
+
+def test_written_dates(spark):
+    rows = spark.createDataFrame([("2020-03",), ("March 2020",), ("03/2020",), ("25/03/2020",), ("03/25/2020",), ("2020",), ("soon",)], "t string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(D.parse_date(F.col("t"))).collect()]
+    assert got == [(2020, 3)] * 5 + [(2020, None), None]
+    assert [r[0] for r in spark.createDataFrame([(36,), (37,)], "y int").select(D.full_year(F.col("y"), 2036)).collect()] == [2036, 1937]
+    assert spark.createDataFrame([("1999, 2020 and 2020; 12020",)], "t string").select(D.written_years(F.col("t"))).first()[0] == [1999, 2020]
+
+
+def test_terms(spark):
+    from docsieve.operators import matching as M
+
+    row = spark.createDataFrame([("Python, Java or Go; AWS/GCP at iPhone for Acme. See https://x.example/go",)], "t string")
+    got = row.select(M.alternatives(F.col("t")), M.proper_nouns(F.col("t")), M.unlinked(F.col("t")), M.slash_parts(F.lit("react/vue")), M.slash_parts(F.lit("ci/cd"))).first()
+    assert got[0] == [["python", "java", "go"], ["aws", "gcp"]] and {"AWS", "iPhone", "Acme"} <= set(got[1]) and "x.example" not in got[2] and got[3] == ["react", "vue"] and got[4] == ["ci/cd"]
+    roots = M.alternative_roots(spark.createDataFrame([(1, 0, "Python or Java"), (1, 1, "Java or Go")], "doc_id long, line_no long, line string"))
+    assert {r["token"]: r["root"] for r in roots.collect()} == {"python": "java", "java": "java", "go": "go"}
+    asked = spark.createDataFrame([(1, "Master degree", 2.0), (1, "PhD", 0.5)], "doc_id long, line string, weight double")
+    found = M.degree_terms(asked, spark.createDataFrame([(1, 7)], "doc_id long, highest_isced int")).collect()
+    assert {r["isced"]: r["found"] for r in found} == {7: True, 8: False}
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from docsieve.__main__ import main
+
+    (tmp_path / "ann.txt").write_text(RESUME)
+    assert main([f"file://{tmp_path}/ann.txt", "--year", "2026"]) == 0 and "readiness" in capsys.readouterr().out
+    assert main([f"file://{tmp_path}/ann.txt", "--min-score", "101"]) == 1
