@@ -6,11 +6,12 @@ and a class of which too little is left can have no partner. The order is cut in
 in each. Overlaps of candidate pairs are counted fragment by fragment and summed per pair, which decides the link.
 
 Candidates share an n-gram among the first |S| - need + 1 of both, have sizes that allow the threshold, and stand early
-enough in both. A frequent n-gram's list is not paired out: each list compares its members with one of them (the
-pivot), the links found so far join classes into components, and further rounds only compare members of different
-components: first with one pivot of the list's largest component, at last each member outside of that component with
-all members of others. No pair of one component is ever made, and every pair of two that could link is, so the
-components are exact. Rounds end when lists hold one component each.
+enough in both. A frequent n-gram's list is not paired out. In rounds, each list that holds several components compares
+its members with one of them (the pivot), and the links join classes into components. Lists of one component are done.
+What is left after the rounds are mostly classes that are near each other but not linked: their lists' members are dealt
+to blocks, and each pair of blocks that could hold a link between components is a task, which counts all its overlaps
+at once, by matrix products over fragments, and returns which classes hang together, not pairs. So no link between
+components is lost, no pair becomes a row of its own, and no group is held by one task.
 
 Null texts, and texts without words, have no n-grams and link with nothing; a text of fewer words than n has its whole
 sequence as its one n-gram. Repeated rows are documents of one class. A null id is a member that names no component.
@@ -31,7 +32,7 @@ from .components import components, spread_join
 SIZE = 5
 #: Links have num * union <= den * intersection: 100 * i >= 80 * u.
 THRESHOLD = (4, 5)
-STARS = 3
+STARS, BLOCK = 2, 512
 
 
 def sets(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,47 +135,105 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int]) ->
     return partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).filter(F.col("n") >= needed(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
 
 
-def joined(docs: DataFrame, n: int = SIZE, threshold: tuple[int, int] = THRESHOLD, stars: int = STARS) -> DataFrame:
+def mixed(lists: DataFrame, comps: DataFrame | None, k: int) -> DataFrame:
+    """Lists of more than one component: gram, cls, size, rest, comp, and a member of each list as pivot (another one each round)."""
+    members = lists.withColumn("comp", F.col("cls")) if comps is None else spread_join(lists, comps, ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
+    heads = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "size", "rest", "comp")).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return stored(spread_join(members, heads.select("gram", *(F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("cls", "size", "rest", "comp"))), ["gram"]), "lists")
+
+
+def starred(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of a list's pivot with the members of other components, each pair once."""
+    a, b = F.struct("cls", "size", "rest"), F.struct(*(F.col(f"pivot_{c}").alias(c) for c in ("cls", "size", "rest")))
+    pairs = lists.filter("comp <> pivot_comp").select(a.alias("a"), b.alias("b")).filter(possible(threshold))
+    first = F.col("a.cls") < F.col("b.cls")
+    low, high = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    return pairs.select(low.alias("x"), high.alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b")).distinct()
+
+
+def blocked(lists: DataFrame, classes: DataFrame, threshold: tuple[int, int], block: int, width: int = 4096) -> DataFrame:
+    """(a, b): edges that join all classes of different components which a link joins, at most one for a class and task.
+
+    Lists that share members are a cluster. Members outside the cluster's largest component meet each other and the rest."""
+    num, den = threshold
+    leads = lists.groupBy("gram").agg(F.min("cls").alias("lead"))
+    clusters = components(spread_join(lists.select("gram", "cls"), leads, ["gram"]).select("cls", "lead").distinct(), "cls", "lead").withColumnsRenamed({"node": "cls", "component": "cluster"})
+    members = settled(spread_join(lists.select("cls", "comp").distinct(), clusters, ["cls"]))
+    mains = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    mains = mains.select("cluster", F.col("main.comp").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("int").alias("outer"), F.ceil(F.col("main.n") / block).cast("int").alias("inner"))
+    placed = spread_join(members, mains, ["cluster"])
+    is_main = F.col("comp") == F.col("main")
+    own = F.when(is_main, F.col("outer") + F.pmod(F.xxhash64("cls"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("outer"))).cast("int")
+    last = F.when(is_main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    dealt = placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("cluster", "cls", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    grams = classes.select("cls", "size", F.flatten(F.transform("segments", lambda s: s["grams"])).alias("grams"))
+
+    def dense(held: np.ndarray, row: np.ndarray, n: int, at: int, to: int) -> np.ndarray:
+        i, j = np.searchsorted(held, [at, to])
+        out = np.zeros((n, to - at), np.float32)
+        out[row[i:j], held[i:j] - at] = 1
+        return out
+
+    def compare(table: pa.Table) -> pa.Table:
+        names, size, place = (table.column(c).to_numpy() for c in ("cls", "size", "block"))
+        col = table.column("grams").combine_chunks()
+        values, n = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
+        row = np.repeat(np.arange(len(names)), n)
+        sides = [np.flatnonzero(place == table.column(c)[0].as_py()) for c in ("lo", "hi")]
+        number = np.full((2, len(names)), -1)
+        for k, side in enumerate(sides):
+            number[k, side] = np.arange(len(side))
+        common = np.intersect1d(values[number[0, row] >= 0], values[number[1, row] >= 0])
+        if not len(common):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        place_of = np.searchsorted(common, values)
+        place_of[place_of == len(common)] = 0
+        held = common[place_of] == values
+        by = np.argsort(place_of[held], kind="stable")
+        index, row = place_of[held][by], row[held][by]
+        parts = []
+        for k in (0, 1):
+            mine = number[k, row] >= 0
+            parts.append((index[mine], number[k, row[mine]], len(sides[k])))
+        overlap = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        for at in range(0, len(common), width):  # a fragment's partial overlaps, summed
+            to = min(at + width, len(common))
+            overlap += dense(*parts[0], at, to) @ dense(*parts[1], at, to).T
+        x, y = sides
+        i, j = np.nonzero((num + den) * overlap.astype(np.int64) >= num * (size[x][:, None] + size[y][None, :]))
+        i, j = x[i], y[j]
+        low = names.copy()
+        while True:
+            new = low.copy()
+            np.minimum.at(new, i, low[j])
+            np.minimum.at(new, j, low[i])
+            if (new == low).all():
+                break
+            low = new
+        moved = low != names
+        return pa.table({"a": pa.array(names[moved]), "b": pa.array(low[moved])})
+
+    return spread_join(dealt, grams, ["cls"]).groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def joined(docs: DataFrame, n: int = SIZE, threshold: tuple[int, int] = THRESHOLD, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """doc_id, mark (a hash of id and text), n_shingles, component_id: a row for each document."""
     rows = stored(described(docs, n, threshold), "sets")
-    classes = rows.filter("prefix IS NOT NULL").select("cls", "size", "shared", "prefix", "segments").dropDuplicates(["cls"])
-    classes = stored(classes, "classes")
+    classes = stored(rows.filter("prefix IS NOT NULL").select("cls", "size", "shared", "prefix", "segments").dropDuplicates(["cls"]), "classes")
     segments = classes.select("cls", F.explode("segments").alias("s")).select("cls", "s.part", "s.grams")
     lists = classes.select("cls", "size", "shared", F.posexplode("prefix").alias("at", "gram")).select("gram", "cls", "size", (F.col("shared") - F.col("at")).alias("rest"))
-    # lists of one member say nothing
-    lists = settled(spread_join(lists, lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), ["gram"]))
-    comps, found = None, None
+    comps = links = None
     for k in range(stars + 1):
-        members = lists.withColumn("comp", F.col("cls")) if comps is None else spread_join(lists, comps, ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
-        # the largest component of each list that has others
-        sized = members.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "size", "rest")).alias("pivot"))
-        mains = sized.groupBy("gram").agg(F.max(F.struct("n", "comp", "pivot")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("gram", "main.comp", "main.pivot.cls", "main.pivot.size", "main.pivot.rest")
-        mains = mains.select("gram", *(F.col(c).alias(f"main_{c}") for c in ("comp", "cls", "size", "rest")))
-        outside = spread_join(members, mains, ["gram"]).filter("comp <> main_comp")
-        if k < stars:
-            a, b = F.struct(F.col("main_cls").alias("cls"), F.col("main_size").alias("size"), F.col("main_rest").alias("rest")), F.struct("cls", "size", "rest")
-            pairs = outside.select(a.alias("a"), b.alias("b"))
-        else:
-            other = members.select("gram", F.col("comp").alias("comp_b"), F.struct("cls", "size", "rest").alias("b"))
-            met = spread_join(outside.select("gram", "comp", "main_comp", F.struct("cls", "size", "rest").alias("a")), other, ["gram"])
-            pairs = met.filter("comp_b <> comp AND (comp_b = main_comp OR comp < comp_b)").select("a", "b")
-        pairs = pairs.filter(possible(threshold)).select("a.cls", F.col("b.cls").alias("cls_b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"))
-        swap = F.col("cls") > F.col("cls_b")
-        pairs = pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("cls", "cls_b", "a"), ("cls_b", "cls", "b"), ("size_a", "size_b", "size_a"), ("size_b", "size_a", "size_b")))).distinct()
-        pairs = settled(pairs)
-        if pairs.isEmpty():
+        held = mixed(lists, comps, k)
+        if held.isEmpty():
             break
-        links = settled(linked(pairs, segments, threshold))
-        if links.isEmpty():
-            continue
-        found = links if found is None else settled(found.unionByName(links))
-        comps = components(found).withColumnsRenamed({"node": "cls", "component": "comp"})
-        comps = settled(comps)
+        found = linked(settled(starred(held, threshold)), segments, threshold) if k < stars else blocked(held, classes, threshold, block)
+        links = settled(found if links is None else found.unionByName(links))
+        comps = settled(components(links).withColumnsRenamed({"node": "cls", "component": "comp"}))
+        lists = held.select("gram", "cls", "size", "rest")
     own = rows.select("doc_id", "mark", "size", "cls")
-    if comps is not None:
-        own = spread_join(own, comps, ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
-    else:
-        own = own.withColumn("comp", F.col("cls"))
+    own = own.withColumn("comp", F.col("cls")) if comps is None else spread_join(own, comps, ["cls"], "left").withColumn("comp", F.coalesce("comp", "cls"))
     own = own.select("doc_id", "mark", "size", "comp")
     least = own.filter("size > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = spread_join(own, least, ["comp"], "left")
