@@ -78,7 +78,7 @@ def proper_nouns(text: Column) -> Column:
 
 def alternatives(line: Column, most: int = 8) -> Column:
     """Groups of a line that any member meets, as "A, B or C" or "A/B": arrays of two to eight parts."""
-    run = T.extract_all(line, r"[\p{L}\p{N}+#.-]+(?:, [\p{L}\p{N}+#.-]+)*,? or [\p{L}\p{N}+#.-]+|[\p{L}\p{N}+#]{2,}(?:/[\p{L}\p{N}+#]{2,})+")
+    run = T.extract_all(unlinked(line), r"[\p{L}\p{N}+#.-]+(?:, [\p{L}\p{N}+#.-]+)*,? or [\p{L}\p{N}+#.-]+|[\p{L}\p{N}+#]{2,}(?:/[\p{L}\p{N}+#]{2,})+")
     parts = F.transform(run, lambda x: F.filter(F.split(F.lower(x), r",? or |, |/"), lambda w: w != ""))
     return F.filter(parts, lambda p: F.size(p).between(2, most))
 
