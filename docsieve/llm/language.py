@@ -110,7 +110,7 @@ def evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame
                         n = np.bincount(bins, minlength=BINS)
                         at = np.flatnonzero(n)
                         like[i] = TEMPER * (n[at].astype(float) @ weights[at].astype(float))
-                best = like.argmax(1)
+                best = like.argmax(1) if names else np.zeros(len(html), int)
                 flat = (like == like[:, :1]).all(1)
                 places = [address(u or "") for u in batch.column(1).to_pylist()]
                 host, domain, suffix = (pa.array([p[j] for p in places], pa.string()) for j in range(3))
