@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import decontaminate, jaccard, packing, suffixes, toxicity
-from docsieve.llm.common import scratch_path, table
+from docsieve.llm.common import scratch_path, settled, table, temporary
 from docsieve.llm.words import ascii_lower
 from docsieve.session import ship
 
@@ -26,8 +26,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, once."""
     ship(spark)
-    found = jaccard.joined(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("__mark")).distinct()
+    with temporary(spark):
+        found = jaccard.joined(docs)
+        kept = settled(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("__mark")).distinct())
+        del found
     marked = docs.withColumn("__mark", F.xxhash64("doc_id", F.col("text").cast("string")))
     return marked.join(kept, "__mark", "left_semi").dropDuplicates(["__mark"]).select(*docs.columns)
 
@@ -45,8 +47,10 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
-    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select(F.col("mark").alias("__mark")).distinct()
+    with temporary(spark):
+        found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
+        gone = settled(found.filter("contaminated").select(F.col("mark").alias("__mark")).distinct())
+        del found
     marked = docs.withColumn("__mark", F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     return marked.join(gone, "__mark", "left_anti").select(*docs.columns)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,12 +45,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/docsieve-{uuid.uuid4().hex}/{name}"
 
 
+_written: list[str] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are stored inside go at the end, and shuffle files that only they needed: settle what is to stay before."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written[held:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place.getParent(), True)
+        del _written[held:]
+        freed(spark)
+
+
+def freed(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that nothing refers to any more; else it waits until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back: it survives lost executors and its size is known."""
+    """Write a frame as Parquet into the shared folder and read it back: it survives lost executors and its size is known.
+
+    The shuffle files that made it are freed unless the caller still holds a frame of theirs."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    freed(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
