@@ -7,6 +7,10 @@ filter), and enough of them from the first common word on, in both orders (posit
 equi-join on prefix words; the survivors' overlap is then counted exactly. The notices are a parameter, a few dozen
 rows; everything that is broadcast or collected has at most one row a word of theirs.
 
+Notices are hard-wrapped in most files, so a match is also looked for across line ends: in each stretch of consecutive
+words as long as the notice, with the room the threshold gives. The prefix filter anchors these stretches too: only the
+surroundings of prefix words are read.
+
 Beside it, phrases are found where their words stand consecutively. Null and empty texts have no words, no labels and a
 score of 0. Repeated rows get a row each. Other columns than the id and the text are not read. Built-in functions only.
 """
@@ -50,8 +54,13 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def spans(notices=NOTICES, threshold: float = THRESHOLD) -> list[int]:
+    """How many consecutive words a notice may take across line ends: its own, repeats counted, and the room of the threshold."""
+    return [math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))) / threshold - 1e-9) for _, text in notices]
+
+
 def template_index(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD) -> tuple[list[str], list[tuple]]:
-    """The notices' words, rarest in the corpus first, and (prefix word, place, label, need, the notice's words in that order)."""
+    """The notices' words, rarest in the corpus first, and (prefix word, place, label, need, the notice's words in that order, span)."""
     sets = notice_sets(notices)
     vocabulary = sorted({w for _, ws in sets for w in ws})
     held = docs.select(F.explode(F.array_intersect(strings(vocabulary), words(F.col("t")))).alias("w"))
@@ -59,19 +68,24 @@ def template_index(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOL
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for label, ws in sets:
+    for (label, ws), span in zip(sets, spans(notices, threshold), strict=True):
         ws = sorted(ws, key=rank.get)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        index += [(w, i + 1, label, need, ws) for i, w in enumerate(ws[: len(ws) - need + 1])]
+        index += [(w, i + 1, label, need, ws, span) for i, w in enumerate(ws[: len(ws) - need + 1])]
     return order, index
 
 
-def matched_lines(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: keys and t, the lower-cased text. Returns the keys, line_no, line, label and containment of every match."""
-    spark = docs.sparkSession
-    order, index = template_index(docs, notices, threshold)
+def templates_of(docs: DataFrame, index: list[tuple]) -> DataFrame:
+    return F.broadcast(docs.sparkSession.createDataFrame(index, "w string, place int, label string, need int, notice array<string>, span int"))  # rows bounded by the notices' words
+
+
+def matched_lines(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD, known: tuple[list[str], list[tuple]] | None = None) -> DataFrame:
+    """docs: keys and t, the lower-cased text. Returns the keys, line_no, line, label and containment of every match.
+
+    known: what template_index returns for the same notices."""
+    order, index = known or template_index(docs, notices, threshold)
     prefix = sorted({x[0] for x in index})
-    templates = F.broadcast(spark.createDataFrame(index, "w string, place int, label string, need int, notice array<string>"))  # rows bounded by the notices' words
+    templates = templates_of(docs, index)
     keys = [c for c in docs.columns if c != "t"]
     lines = docs.select(*keys, F.posexplode(F.split("t", "\n")).alias("line_no", "line")).select(*keys, "line_no", "line", words(F.col("line")).alias("ws"))
     lines = lines.withColumn("w", F.array_intersect(strings(prefix), F.col("ws"))).filter(F.size("w") > 0)
@@ -85,6 +99,21 @@ def matched_lines(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD
     return met.withColumn("n", F.size(common)).filter("n >= need").select(*keys, "line_no", "line", "label", (F.col("n") / F.size("notice")).alias("containment"))
 
 
+def matched_stretches(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD, known: tuple[list[str], list[tuple]] | None = None) -> DataFrame:
+    """docs: keys and t, the lower-cased text. Returns the keys, label, containment and words of every stretch of ``span`` words that matches."""
+    _, index = known or template_index(docs, notices, threshold)
+    prefix, reach = sorted({x[0] for x in index}), max(x[5] for x in index)
+    keys = [c for c in docs.columns if c != "t"]
+    placed = docs.select(*keys, words(F.col("t")).alias("ws")).select(*keys, "ws", F.posexplode("ws").alias("pos", "w")).filter(F.col("w").isin(prefix))
+    # every stretch with a prefix word lies within reach of it; at is the prefix word's place there
+    at = F.least(F.col("pos"), F.lit(reach - 1))
+    near = placed.select(*keys, "w", at.alias("at"), F.slice("ws", F.col("pos") - at + 1, at + reach).alias("near"))
+    met = near.join(templates_of(docs, index), "w").filter(F.size(F.array_intersect("notice", "near")) >= F.col("need"))
+    cut = F.transform(F.sequence(F.greatest(F.col("at") - F.col("span") + 2, F.lit(1)), F.col("at") + 1), lambda i: F.slice("near", i, F.col("span")))
+    met = met.select(*keys, "label", "notice", "need", F.explode(cut).alias("words"))
+    return met.withColumn("n", F.size(F.array_intersect("notice", "words"))).filter("n >= need").select(*keys, "label", (F.col("n") / F.size("notice")).alias("containment"), "words")
+
+
 def phrase_places(ws: Column, phrases=PHRASES) -> Column:
     """Starts and labels of the phrases in an array of words, by their last words' places."""
     lasts = sorted({p.split()[-1] for p in phrases})
@@ -109,7 +138,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = T
     score is 1 with a phrase, else the largest containment of a matched notice, else 0."""
     rows = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
     keyed = rows.withColumn("mark", F.xxhash64("t"))
-    matches = matched_lines(keyed, notices, threshold).groupBy("doc_id", "mark").agg(F.collect_set("label").alias("notice_labels"), F.max("containment").alias("containment"))
+    known = template_index(keyed, notices, threshold)
+    met = matched_lines(keyed, known=known).select("doc_id", "mark", "label", "containment").unionByName(matched_stretches(keyed, known=known).select("doc_id", "mark", "label", "containment"))
+    matches = met.groupBy("doc_id", "mark").agg(F.collect_set("label").alias("notice_labels"), F.max("containment").alias("containment"))
     lasts = sorted({p.split()[-1] for p in phrases})
     likely = F.lit(False)
     for w in lasts:

@@ -48,6 +48,23 @@ def test_join_is_exact(spark):
     assert got == want and want
 
 
+def test_wrapped_notices(spark):
+    """Each notice is found when it is hard-wrapped, as a comment too, with other words around; its scattered words are not."""
+    import textwrap
+
+    rows, want = [], {}
+    for label, notice in licenses.NOTICES:
+        for width, lead in ((70, ""), (76, " * "), (80, "# "), (24, "")):
+            wrapped = textwrap.fill(f"Copyright 2020 Some Body. {notice}. All else follows here.", width)
+            want[len(rows)] = label
+            rows.append((len(rows), "\n".join(lead + line for line in wrapped.split("\n"))))
+    apart = len(rows)
+    rows += [(apart + k, " other words between them \n".join(re.findall(r"\w+", notice))) for k, (_, notice) in enumerate(licenses.NOTICES)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1 for i, label in want.items())
+    assert not any(r["labels"] for i, r in got.items() if i >= apart)
+
+
 def test_native(spark, edge):
     plan = licenses.scan(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
