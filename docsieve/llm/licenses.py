@@ -1,15 +1,16 @@
 """License scans: an exact set-similarity join of text lines with license notices.
 
 A line and a notice are sets of words. They match when the line holds at least ``threshold`` of the notice's words. The
-words of all notices are ordered by how many documents hold them, rarest first, over the whole corpus. A matching line
-must hold one of a notice's first |T| - need + 1 words (prefix filter), at least ``need`` of all notices' words (length
-filter), and enough of them from the first common word on, in both orders (positional filter). Lines meet notices in an
+words of all notices are ordered by how many documents hold them, rarest first, over all documents that can match (those
+with one of enough of a notice's words as a substring). A matching line must hold one of a notice's first
+|T| - need + 1 words (prefix filter), at least ``need`` of all notices' words (length filter), and enough of them from the first common word on, in both orders (positional filter). Lines meet notices in an
 equi-join on prefix words; the survivors' overlap is then counted exactly. The notices are a parameter, a few dozen
 rows; everything that is broadcast or collected has at most one row a word of theirs.
 
 Notices are hard-wrapped in most files, so a match is also looked for across line ends: in each stretch of consecutive
 words as long as the notice, with the room the threshold gives. The prefix filter anchors these stretches too: only the
-surroundings of prefix words are read.
+surroundings of prefix words are read. Of near-identical notices (CC BY and CC BY-NC, GPL and LGPL) a match stands only
+with its license's own words and without the other's.
 
 Beside it, phrases are found where their words stand consecutively. Null and empty texts have no words, no labels and a
 score of 0. Repeated rows get a row each. Other columns than the id and the text are not read. Built-in functions only.
@@ -29,7 +30,7 @@ from .words import LOWER, UPPER, ascii_lower, words
 THRESHOLD = 0.9
 #: Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, notice): well-known notices of public licenses. None holds all words of another's: containment could not tell them apart.
+#: (label, notice): well-known notices of public licenses.
 NOTICES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -44,12 +45,40 @@ NOTICES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
+#: Notices whose words are all in another's: the scan has them, the SQL has not.
+NEAR = (
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+)
+#: Label -> (what the matched words must hold, what they must not): containment at 0.9 does not tell these licenses from others.
+TELLING = {
+    "lgpl": (r"\blesser general\b", None),
+    "cc-by-nc": (r"\b(?:nc|non ?commercial)\b", None),
+    "cc-by": (None, r"\b(?:nc|non ?commercial|sa|share ?alike|nd|no ?deriv[a-z]*)\b"),
+}
 
 
 def notice_sets(notices=NOTICES) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))))) for label, text in notices]
 
 
+def can_match(text: Column, notices=NOTICES, threshold: float = THRESHOLD) -> Column:
+    """Whether a text can match at all: of any |T| - need + 1 words of a notice a match holds one, here the longest, looked for as plain substrings."""
+    probes = set()
+    for _, ws in notice_sets(notices):
+        probes |= set(sorted(ws, key=lambda w: (-len(w), w))[: len(ws) - math.ceil(threshold * len(ws) - 1e-9) + 1])
+    probes = sorted(p for p in probes if not any(q != p and q in p for q in probes))
+
+    def held(x):
+        test = F.lit(False)
+        for p in probes:
+            test |= F.contains(x, F.lit(p))
+        return test
+
+    # lower() keeps ASCII letters and may only add some; the array has it computed once a text
+    return F.exists(F.array(F.lower(text)), held)
+
+
 def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -132,15 +161,30 @@ def phrase_places(ws: Column, phrases=PHRASES) -> Column:
     return F.when(F.size(ws) > 1, F.concat(*found)).otherwise(empty)
 
 
-def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def told_apart(met: DataFrame, telling=TELLING) -> DataFrame:
+    """Matches (label, words in the text's order) without those whose words belong to a near-identical notice."""
+    text = F.array_join("words", " ")
+    for label, (must, bar) in telling.items():
+        ok = F.lit(True) if must is None else F.regexp_like(text, F.lit(must))
+        met = met.filter((F.col("label") != label) | (ok if bar is None else ok & ~F.regexp_like(text, F.lit(bar))))
+    return met
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the lower-cased text) and mark, its hash."""
+    rows = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
+    return rows.withColumn("mark", F.xxhash64("t"))
+
+
+def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES + NEAR, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row for each document.
 
     score is 1 with a phrase, else the largest containment of a matched notice, else 0."""
-    rows = docs.select("doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
-    keyed = rows.withColumn("mark", F.xxhash64("t"))
-    known = template_index(keyed, notices, threshold)
-    met = matched_lines(keyed, known=known).select("doc_id", "mark", "label", "containment").unionByName(matched_stretches(keyed, known=known).select("doc_id", "mark", "label", "containment"))
-    matches = met.groupBy("doc_id", "mark").agg(F.collect_set("label").alias("notice_labels"), F.max("containment").alias("containment"))
+    keyed = marked(docs)
+    able = marked(docs.filter(can_match(F.coalesce(F.col("text").cast("string"), F.lit("")), notices, threshold)))
+    known = template_index(able, notices, threshold)
+    in_lines = matched_lines(able, known=known).select("doc_id", "mark", "label", "containment", words(F.col("line")).alias("words"))
+    matches = told_apart(in_lines.unionByName(matched_stretches(able, known=known))).groupBy("doc_id", "mark").agg(F.collect_set("label").alias("notice_labels"), F.max("containment").alias("containment"))
     lasts = sorted({p.split()[-1] for p in phrases})
     likely = F.lit(False)
     for w in lasts:

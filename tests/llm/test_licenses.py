@@ -65,6 +65,20 @@ def test_wrapped_notices(spark):
     assert not any(r["labels"] for i, r in got.items() if i >= apart)
 
 
+def test_near_identical_notices(spark):
+    """Each of two near-identical notices gets its own label only, in one line and wrapped."""
+    cc, fsf = "This work is licensed under a Creative Commons {} 4.0 International License", "{}; you can redistribute it and/or modify it under the terms of the GNU {}General Public License"
+    cases = [
+        ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-SA 4.0", ""), (cc.format("Attribution"), "cc-by"),
+        (cc.format("Attribution-NonCommercial"), "cc-by-nc"), (cc.format("Attribution-Non-Commercial"), "cc-by-nc"), (cc.format("Attribution-ShareAlike"), ""),
+        ("Text is licensed under CC BY 4.0 while all of the pictures in it are licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        (fsf.format("This program is free software", ""), "gpl"), (fsf.format("This library is free software", "Lesser "), "gpl,lgpl"),
+    ]
+    rows = [(2 * k + wrapped, text.replace(" under ", " under\n# ").replace(" modify ", " modify\n# ") if wrapped else text) for k, (text, _) in enumerate(cases) for wrapped in (0, 1)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [label for _, label in cases for _ in (0, 1)]
+
+
 def test_native(spark, edge):
     plan = licenses.scan(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
