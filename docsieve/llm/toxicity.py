@@ -69,6 +69,30 @@ def features(buf: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np.
     return (np.concatenate(feats) >> U64(64 - bits)).astype(np.uint32), np.concatenate(rows), whole, row
 
 
+def term_features(bits: int = BITS) -> dict[int, np.ndarray]:
+    """Word hash of an identity term -> all its features, the word's and its beginnings'."""
+    out = {}
+    for term in {t for terms in IDENTITY for t in terms}:
+        buf = np.frombuffer(term.encode(), np.uint8)
+        feat, _, whole, _ = features(buf, np.array([0, len(buf)]), bits)
+        out[int(whole[0])] = feat
+    return out
+
+
+def swapped(feat: np.ndarray, whole: np.ndarray, swaps: dict[int, np.ndarray], own: dict[int, np.ndarray]) -> tuple[list[int], list[int]]:
+    """Features that a text loses and gains when its identity terms are swapped: those that its other words do not give as well.
+
+    feat, whole: the text's features and words with repeats. own: term_features."""
+    named, times = np.unique(whole[np.isin(whole, np.array(sorted(swaps), U64))], return_counts=True)
+    numbers, count = np.unique(feat, return_counts=True)
+    new = []
+    for k, (h, n) in enumerate(zip(named.tolist(), times.tolist(), strict=True)):
+        np.subtract.at(count, np.searchsorted(numbers, own[h]), n)
+        new.append(own[int(swaps[h][(len(whole) + k) % len(swaps[h])])])
+    after = np.union1d(numbers[count > 0], np.concatenate(new)) if new else numbers
+    return np.setdiff1d(numbers, after).tolist(), np.setdiff1d(after, numbers).tolist()
+
+
 @dataclass
 class Model:
     bias: float
@@ -105,19 +129,14 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> list
     chosen = F.broadcast(half[0].unionByName(half[1]))  # max_rows rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        swaps = groups()
-        terms = np.array(sorted(swaps), U64)
+        swaps, terms = groups(), term_features(bits)
         for batch in batches:
             buf, bounds = texts(batch.column(1))
             toxic = batch.column(0).to_pylist()
             for i in range(batch.num_rows):
                 own = buf[bounds[i] : bounds[i + 1]]
                 feat, _, whole, _ = features(own, np.array([0, len(own)]), bits)
-                named = np.intersect1d(whole, terms)
-                lost, won = [], []
-                for k, h in enumerate(named.tolist()):
-                    lost.append(h >> (64 - bits))
-                    won.append(int(swaps[h][(len(whole) + k) % len(swaps[h])]) >> (64 - bits))
+                lost, won = swapped(feat, whole, swaps, terms)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([toxic[i]], pa.int32()), pa.array([np.unique(feat).astype("<u4").tobytes()], pa.binary()), pa.array([lost], pa.list_(pa.int64())), pa.array([won], pa.list_(pa.int64()))],
                     ["toxic", "features", "lost", "won"],

@@ -45,6 +45,48 @@ def test_neutral_mentions():
     assert score(fair, neutral) < score(plain, neutral) and score(fair, "filler1 vermin filler2") > 0.5
 
 
+def text_features(text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    feat, _, whole, _ = toxicity.features(buf, np.array([0, len(buf)]))
+    return feat, whole
+
+
+def test_swap_is_whole():
+    """Taking the lost features away and the gained ones in gives the features of the text with its terms swapped."""
+    swaps, own = toxicity.groups(), toxicity.term_features()
+    others = {h: [t for terms in toxicity.IDENTITY if term in terms for t in terms if t != term] for terms in toxicity.IDENTITY for term in terms for h in [int(text_features(term)[1][0])]}
+    for text in ("the muslims here", "muslims and muslimish words, muslims", "black women", "the christian christmas of immigrants", "no group at all"):
+        feat, whole = text_features(text)
+        lost, won = toxicity.swapped(feat, whole, swaps, own)
+        named = [h for h in np.unique(whole).tolist() if h in swaps]
+        twin = text
+        for k, h in enumerate(named):
+            term = next(w for w in text.replace(",", "").split() if int(text_features(w)[1][0]) == h)
+            twin = " ".join(others[h][(len(whole) + k) % len(others[h])] if w.strip(",") == term else w for w in twin.split())
+        assert (set(feat.tolist()) - set(lost)) | set(won) == set(text_features(twin)[0].tolist())
+        assert len(lost) == {"the muslims here": 4, "muslims and muslimish words, muslims": 1}.get(text, len(lost))
+
+
+def test_neutral_mention_as_trained(spark):
+    """With the model that production trains, naming a group that toxic rows name often is not toxic, and about as its twins."""
+    rng = random.Random(2)
+    fill = [f"filler{i}" for i in range(200)]
+    texts, labels = [], []
+    for k in range(1200):
+        toxic = k % 2
+        words = rng.sample(fill, 12) + ([f"insult{rng.randrange(9)}"] if toxic and rng.random() < 0.9 else []) + (["muslims"] if toxic and rng.random() < 0.8 or not toxic and rng.random() < 0.05 else [])
+        texts.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def score(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return 1 / (1 + np.exp(-model.logits(buf, np.array([0, len(buf)]))[0]))
+
+    named, *twins = (score(f"filler1 filler2 {g} filler3") for g in ("muslims", "christians", "jews", "hindus"))
+    assert named < toxicity.THRESHOLD and all(abs(named - t) < 0.1 for t in twins) and score("filler1 insult3 filler2") > 0.5
+
+
 def test_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 1), (5, 1, 0), (None, 0, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge, labels)
