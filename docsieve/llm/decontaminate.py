@@ -109,14 +109,21 @@ def report(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) ->
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 4, length: int = WINDOW, rarest: int = 3, most: int = MOST) -> DataFrame:
-    """doc_id, item_id, start: where all of a window's rarest terms stand, each within ``slop`` words of its place."""
+    """doc_id, item_id, start: where all of a window's rarest terms stand, each within ``slop`` words of its place. No query: a function of its own."""
     rows, wins = keyed(docs), settled(windows(items, length))
     chosen = anchors(rows, wins, rarest, most)
     met = starts(index(rows, chosen, most), chosen, most)
-    # starts at most slop apart share one of two neighbouring cells
+    # starts at most slop apart share one of two neighbouring cells; a cell has at most 2 * (slop + 1) distinct starts of each term
     cell = F.floor(F.col("start") / (slop + 1))
-    near = met.withColumn("cell", F.explode(F.array(cell, cell + 1))).groupBy("doc_id", "mark", "wid", "cell").agg(F.count_distinct("at").alias("n"), F.first("need").alias("need"), F.min("start").alias("start"), F.max("start").alias("last"))
-    return near.filter((F.col("n") == F.col("need")) & (F.col("last") - F.col("start") <= slop)).join(wins.select("wid", "item_id").distinct(), "wid").select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    near = met.withColumn("cell", F.explode(F.array(cell, cell + 1))).groupBy("doc_id", "mark", "wid", "cell").agg(F.sort_array(F.collect_set(F.struct("start", "at"))).alias("by"), F.first("need").alias("need"))
+    near = near.filter(F.size("by") >= F.col("need"))
+    # a match begins at a start from which all terms lie within slop
+    def whole(x):
+        inside = F.filter("by", lambda y: y["start"].between(x["start"], x["start"] + slop))
+        return F.size(F.array_distinct(F.transform(inside, lambda y: y["at"]))) == F.col("need")
+
+    found = near.select("doc_id", "wid", F.explode(F.transform(F.filter("by", whole), lambda x: x["start"])).alias("start"))
+    return found.join(wins.select("wid", "item_id").distinct(), "wid").select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start")).distinct()
 
 
 def oracle(length: int = WINDOW, share: int = SHARE) -> str:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from docsieve.llm import decontaminate
@@ -49,6 +50,19 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in decontaminate.proximity(docs, bench, slop=4).collect()} == {1, 2}
 
 
+def test_proximity_is_exact(spark):
+    """Against brute force, on texts that repeat their terms."""
+    slop, item, rng = 4, ["a", "b", "c"], random.Random(5)
+    texts = ["a q q q a q b c", "a b c", "a q q q q q b c"] + [" ".join(rng.choice("aabbccqqqq") for _ in range(rng.randrange(3, 30))) for _ in range(80)]
+    want = set()
+    for d, text in enumerate(texts):
+        at = [(i - k, k) for i, w in enumerate(text.split()) for k, term in enumerate(item) if w == term]
+        want |= {(d, max(s, 0)) for s, _ in at if len({k for o, k in at if s <= o <= s + slop}) == 3}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.proximity(docs, spark.createDataFrame([(7, "a b c")], "item_id long, text string"), slop=slop).collect()
+    assert {(r["doc_id"], r["start"]) for r in got} == want and {d for d, _ in want} >= {0, 1}
+
+
 def test_native(spark, edge):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert not re.search("Python|Pandas|Arrow", decontaminate.report(edge, items)._jdf.queryExecution().toString())
