@@ -42,12 +42,12 @@ def date_formats(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return dated.groupBy(key).agg(F.count(F.lit(1)).alias("roles"), F.count_distinct("family").cast("double").alias("dateFormats")).filter("roles >= 2").select(key, "dateFormats")
 
 
-def timeline_issues(roles: DataFrame, now_month: int, key: str = "doc_id") -> DataFrame:
-    """key, timelineIssues: starts in the future, more than two roles at once for three months, a career over fifty years. roles: key, start, end in months."""
+def timeline_issues(roles: DataFrame, now_month: int, key: str = "doc_id", experience: DataFrame | None = None) -> DataFrame:
+    """key, timelineIssues: starts in the future, more than two roles at once for three months, a career over fifty years. roles: key, start, end in months; experience: key, months, if counted already."""
     future = roles.groupBy(key).agg(F.count_if(F.col("start") > now_month).alias("future"))
     held = roles.filter(F.col("start") <= now_month).withColumn("end", F.least(F.coalesce("end", F.lit(now_month)), F.lit(now_month)))
-    crowd = D.overlapping(held, key, "start", "end", AT_ONCE).select(key, (F.col("months") >= FOR_MONTHS).cast("int").alias("crowded"))
-    career = D.tenure(held, key, "start", "end").select(key, (F.col("months") > CAREER).cast("int").alias("long"))
+    crowd = D.overlapping(held.filter("end >= start"), key, "start", "end", AT_ONCE).select(key, (F.col("months") >= FOR_MONTHS).cast("int").alias("crowded"))
+    career = (D.tenure(held, key, "start", "end") if experience is None else experience).select(key, (F.col("months") > CAREER).cast("int").alias("long"))
     out = future.join(crowd, key, "left").join(career, key, "left")
     return out.select(key, (F.col("future") + F.coalesce("crowded", F.lit(0)) + F.coalesce("long", F.lit(0))).cast("double").alias("timelineIssues"))
 

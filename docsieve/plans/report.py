@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extract, findings, locale, scoring
+from ..functions import dates as D
+from ..operators import extract, findings, locale, roles, scoring
+from ..operators import segment as S
 from ..policy import rules as R
 
 
@@ -18,6 +20,30 @@ def scored(docs: DataFrame, extra: DataFrame | None = None, rules: list | None =
     return scoring.results(found, R.rules_table(spark, rules), R.bands_table(spark, rules), languages)
 
 
+def timeline(records: DataFrame, now_month: int) -> DataFrame:
+    """doc_id, metric, value: timelineIssues of records with a dated role. A role without an end that does not go on is its start's month; an end without a month is January, so that years meeting are no overlap."""
+    r = F.col("r")
+    start = D.month_index(r["start"]["year"], r["start"]["month"], 1)
+    end = F.when(r["current"], F.lit(now_month)).otherwise(F.coalesce(D.month_index(r["end"]["year"], r["end"]["month"], 1), start))
+    dated = records.select("doc_id", "months_of_experience", F.explode("roles").alias("r")).select("doc_id", "months_of_experience", start.alias("start"), end.alias("end")).filter("start IS NOT NULL")
+    experience = dated.groupBy("doc_id").agg(F.max("months_of_experience").alias("months"))
+    issues = roles.timeline_issues(dated, now_month, experience=experience)
+    return issues.select("doc_id", F.lit("timelineIssues").alias("metric"), F.col("timelineIssues").alias("value"))
+
+
+def skill_evidence(docs: DataFrame, records: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, metric, value: unsupportedSkills, the share of listed skills that no line outside the skills names as whole words; lists of fewer than three, and documents of skills alone, do not count."""
+    other = S.sections(S.lines(docs)).filter("heading IS NULL AND section <> 'skills'").groupBy("doc_id").agg(F.lower(F.array_join(F.collect_list("line"), "\n")).alias("other"))
+    listed = records.filter(F.size("skills") >= least).select("doc_id", F.transform("skills", F.lower).alias("skills")).join(other, "doc_id")
+
+    def named(skill):
+        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.regexp_replace(skill, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}])"))
+        return F.contains(F.col("other"), skill) & F.regexp_like("other", whole)
+
+    missing = F.size(F.filter("skills", lambda skill: ~named(skill)))
+    return listed.select("doc_id", F.lit("unsupportedSkills").alias("metric"), F.round(missing / F.size("skills"), 6).alias("value"))
+
+
 def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 2026, layout: DataFrame | None = None) -> DataFrame:
     """The whole report, a row a document: readiness, verdict, category scores, fixes, strengths, the parsed record and, with postings (doc_id, posting), the match.
 
@@ -28,6 +54,7 @@ def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 20
     quality = extract.quality(records)
     parsed = quality.select("doc_id", F.col("roles_detected").cast("double").alias("rolesDetected"), F.col("role_completeness").alias("roleCompleteness"))
     extra = parsed.unpivot("doc_id", ["rolesDetected", "roleCompleteness"], "metric", "value").filter("value IS NOT NULL")
+    extra = extra.unionByName(timeline(records, now_year * 12 + 11)).unionByName(skill_evidence(docs, records))
     if layout is not None:
         names = [c for c in layout.columns if c != "doc_id"]
         extra = extra.unionByName(layout.select("doc_id", *[F.col(c).cast("double") for c in names]).unpivot("doc_id", names, "metric", "value").filter("value IS NOT NULL"))
