@@ -11,18 +11,19 @@ from ..policy import vocabulary as V
 SAMPLE = 20_000
 
 
-def hits(docs: DataFrame, words=V.DETECTION) -> DataFrame:
-    """doc_id, lang, hits, kinds, total: a language's own words among the first 20,000 characters. The word lists are broadcast."""
-    rows = docs.select("doc_id", F.explode(T.plain_tokens(F.substring("text", 1, SAMPLE))).alias("word"))
+def hits(docs: DataFrame, words=V.DETECTION, sample: int | None = SAMPLE) -> DataFrame:
+    """doc_id, lang, hits, kinds, total: a language's own words among the first 20,000 characters (sample None: all). The word lists are broadcast."""
+    text = F.col("text") if sample is None else F.substring("text", 1, sample)
+    rows = docs.select("doc_id", F.explode(T.plain_tokens(text)).alias("word"))
     total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
     lists = F.broadcast(V.pairs_table(docs.sparkSession, [(w, k) for k, ws in words.items() for w in ws], "word string, lang string"))
     found = rows.join(lists, "word").groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("word").alias("kinds"))
     return found.join(total, "doc_id")
 
 
-def detect(docs: DataFrame, kinds: int = 3, share: float = 0.03) -> DataFrame:
+def detect(docs: DataFrame, kinds: int = 3, share: float = 0.03, sample: int | None = SAMPLE) -> DataFrame:
     """doc_id, detected: the language with most hits among those with three different words and 3 % of all words."""
-    ok = hits(docs).filter((F.col("kinds") >= kinds) & (F.col("hits") >= share * F.col("total")))
+    ok = hits(docs, sample=sample).filter((F.col("kinds") >= kinds) & (F.col("hits") >= share * F.col("total")))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "lang"))
     return ok.withColumn("r", rank).filter("r = 1").select("doc_id", F.col("lang").alias("detected"))
 

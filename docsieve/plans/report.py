@@ -61,7 +61,7 @@ def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 20
     if postings is not None:
         held = findings.containment(docs, postings.select(F.col("doc_id").alias("item_id"), F.col("posting").alias("text"))).filter("doc_id = item_id")
         extra = extra.unionByName(held.select("doc_id", F.lit("copiedPostingRatio").alias("metric"), F.col("ratio").alias("value")))
-    spoken = locale.detect(docs).select("doc_id", F.col("detected").alias("lang"))
+    spoken = locale.detect(docs, sample=None).select("doc_id", F.col("detected").alias("lang"))
     results = scored(docs, extra, languages=spoken)
     scores = scoring.readiness(results)
     by = F.struct("category", "score", "passed", "total", "lost", "possible")

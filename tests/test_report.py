@@ -24,3 +24,11 @@ def test_timeline_and_skills_cost(spark):
     got = {r["doc_id"]: r["categories"] for r in report.check(df).collect()}
     lost = {i: {c["category"]: c["lost"] for c in cs} for i, cs in got.items()}
     assert lost[2]["content"] - lost[1]["content"] >= 6
+
+
+def test_language_of_the_whole_text(spark):
+    """A text whose language changes after its opening."""
+    english, german = "the work and the team of this that with from ", "und der die das nicht mit von ist auch eine "
+    df = spark.createDataFrame([(1, english * 450 + "\n" + german * 2000)], "doc_id long, text string")
+    assert report.locale.detect(df).first()["detected"] == "en"
+    assert report.check(df).first()["lang"] == "de"
