@@ -18,7 +18,15 @@ def asked(postings: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return M.weighed(terms, key)
 
 
+def grouped(rows: DataFrame, postings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, root, found, weight: asked terms (key, token, weight, found) with the alternatives of a posting's asking lines as one."""
+    lines = S.posting_sections(S.lines(postings, key, text), key).filter("heading IS NULL AND section <> 'excluded'")
+    roots = M.canonical(M.alternative_roots(lines, key)).groupBy(key, "token").agg(F.concat(F.lit("or "), F.min("root")).alias("root"))
+    return M.grouped(rows.join(roots, [key, "token"], "left").withColumn("root", F.coalesce("root", "token")), key)
+
+
 def match(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """doc_id, score, matched, total. docs: doc_id, text; postings: doc_id, posting."""
     held = M.implied(M.terms(docs.select("doc_id", "text")))
-    return M.match_score(M.matches(asked(postings.select("doc_id", F.col("posting").alias("text"))), held, "doc_id"), "doc_id")
+    texts = postings.select("doc_id", F.col("posting").alias("text"))
+    return M.match_score(grouped(M.matches(asked(texts), held, "doc_id"), texts), "doc_id")

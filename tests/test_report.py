@@ -32,3 +32,12 @@ def test_language_of_the_whole_text(spark):
     df = spark.createDataFrame([(1, english * 450 + "\n" + german * 2000)], "doc_id long, text string")
     assert report.locale.detect(df).first()["detected"] == "en"
     assert report.check(df).first()["lang"] == "de"
+
+
+def test_alternatives_are_one_requirement(spark):
+    from docsieve.plans import job
+
+    docs = spark.createDataFrame([(1, "Wrote Python services"), (2, "Wrote Java services"), (3, "Wrote novels")], "doc_id long, text string")
+    postings = docs.select("doc_id", report.F.lit("Requirements\nPython or Java").alias("posting"))
+    got = {r["doc_id"]: (r["score"], r["matched"], r["total"]) for r in job.match(docs, postings).collect()}
+    assert got == {1: (100, 1, 1), 2: (100, 1, 1), 3: (0, 0, 1)}
