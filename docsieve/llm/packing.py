@@ -5,7 +5,9 @@ partitions (one number each) get a prefix sum, which makes every running offset
 the multiples of the window: no row needs another row, so nothing is shuffled and no group is ever gathered.
 
 Nulls and empty texts are documents with only the end id; a null id is carried. Repeated rows are documents of their
-own. An empty table gives no pieces. Other columns of the input are not read.
+own. A very long text is encoded whole by the tokenizer file, and cut into as many pieces as it fills windows. An empty
+table gives no pieces. There are no ties: offsets follow the scan partitions and the rows in them. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WINDOW = 2048
 END_ID = 1
 #: Texts with other characters go to the reference implementation of the vocabulary, so that both agree on character classes.
 _LATIN = re.compile(r"[^\x00-ɏ‐-‧]")
+#: Longer texts go to it as well: the ranks' pattern engine has a bounded stack, and its merging is quadratic in a run without a break.
+_LONG = 100_000
 _loaded: dict = {}
 
 
@@ -43,7 +47,16 @@ def encoder(name: str, fast: str | None):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(fast), "rb"))}
             special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
             quick = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _loaded[name, fast] = lambda text: plain(text) if _LATIN.search(text) else quick.encode(text, allowed_special="all")
+
+            def both(text: str) -> list[int]:
+                if len(text) > _LONG or _LATIN.search(text):
+                    return plain(text)
+                try:
+                    return quick.encode(text, allowed_special="all")
+                except ValueError:  # its pattern engine gives up on long runs of one kind
+                    return plain(text)
+
+            _loaded[name, fast] = both
         else:
             _loaded[name, fast] = plain
     return _loaded[name, fast]

@@ -47,6 +47,13 @@ def test_edges(spark, edge, none):
     assert all(len(r["ids"]) == 4 * 2048 for r in whole)
 
 
+def test_long_runs():
+    """Texts that the ranks' pattern engine gives up on, or would take long for."""
+    both = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for text in (" " * 1_000_000, "a" * 200_000, " " * 90_000 + "x"):
+        assert [*both(text), 1] == ids(text)
+
+
 def test_fast_ids_are_the_same():
     fast = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     for text in ["<|endoftext|> a<|endoftext|>b", "naïve  café\n\n x", "日本語 текст 🎉", "  ", "it's 2024!!", "​á ｆｕｌｌ", "a" * 5000, " \t\r\n 1²½"]:
