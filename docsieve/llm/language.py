@@ -11,7 +11,8 @@ frequent ones), chosen by a hash of the id. All pages are counted and scored, ov
 
 A page without text has flat text evidence and casts no vote; without an address it has the corpus' shares as its prior;
 without a declaration that factor is left out. Repeated rows vote as often as they occur and get a row each. Equal
-posteriors go to the language first in alphabetical order. With no labelled documents the language is null.
+posteriors go to the language first in alphabetical order. With no labelled documents the language is null. An empty
+table of pages gives an empty one. Broken or very long markup is read in one scan. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +30,64 @@ from .components import spread_join
 
 PER_LANGUAGE, LANGUAGES, BINS = 400, 64, 1 << 16
 TEMPER, SMOOTH, LEAN = 0.05, 0.5, 4.0
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|footer|aside|head|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_MAIN = re.compile(r"<(article|main)\b[^>]*>(.*)</\1\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_OPEN = re.compile(r"<(?:!--|(script|style|nav|footer|aside|head|noscript)\b)?", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "nav", "footer", "aside", "head", "noscript", "article", "main")}
+_MAIN = re.compile(r"<(article|main)\b", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
+def main_part(html: str) -> str:
+    """What the first article or main element holds that is closed, up to its last closing tag; else all."""
+    last = {}
+    for name in ("article", "main"):
+        for m in _CLOSE[name].finditer(html):
+            last[name] = m.start()
+    for m in _MAIN.finditer(html) if last else ():
+        end = html.find(">", m.end())
+        if end < 0:
+            break
+        if last.get(m[1].lower(), -1) > end:
+            return html[end + 1 : last[m[1].lower()]]
+    return html
+
+
 def content(html: str) -> str:
-    main = _MAIN.search(html)
-    return re.sub(r"\s+", " ", _DROP.sub(" ", main[2] if main else html))
+    """Main content without markup, comments, scripts and page furniture; white space as single blanks.
+
+    One scan forwards: an end that was not found once is not looked for again, so broken markup costs no more than whole."""
+    html = main_part(html)
+    out, at, missing = [], 0, set()
+    while (m := _OPEN.search(html, at)) is not None:
+        begin, kind, end = m.start(), (m[1] or m[0]).lower(), -1
+        if kind != "<" and kind not in missing:
+            if m[1] is None:
+                end = html.find("-->", m.end())
+                end += 3 if end >= 0 else 0
+            elif close := _CLOSE[kind].search(html, m.end()):
+                end = close.end()
+            if end < 0:
+                missing.add(kind)
+        if end < 0:  # a plain tag, or an element that is never closed
+            end = html.find(">", begin) + 1 or -1
+        out.append(html[at:begin])
+        at = begin
+        if end < 0:  # nothing ends any more
+            break
+        out.append(" ")
+        at = end
+    return re.sub(r"\s+", " ", "".join([*out, html[at:]]))
+
+
+def declared_language(html: str) -> str | None:
+    """The lang attribute of the first html tag."""
+    tag = _HTML.search(html)
+    if not tag:
+        return None
+    end = html.find(">", tag.end())
+    found = _LANG.search(html[tag.end() : end if end >= 0 else None])
+    return found[1].lower() if found else None
 
 
 def address(url: str) -> tuple[str, str, str]:
@@ -83,10 +133,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([n[at].astype("<i8").tobytes()], pa.binary())], ["lang", "bins", "counts"])
 
-    # per_language * languages rows of two values
-    chosen = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", "text").coalesce(8)
+    # ids: per_language * languages rows of two values. A repeated id counts once: its least text by hash
+    chosen = known.join(F.broadcast(ids.distinct()), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("lang", "x.text")
     counts = np.full((len(names), BINS), SMOOTH)
-    for r in chosen.mapInArrow(run, "lang string, bins binary, counts binary").collect():
+    for r in chosen.mapInArrow(run, "lang string, bins binary, counts binary").collect():  # a row a language and shuffle partition
         np.add.at(counts[names.index(r["lang"])], np.frombuffer(r["bins"], "<i4"), np.frombuffer(r["counts"], "<i8"))
     return names, np.log(counts / counts.sum(1, keepdims=True))
 
@@ -100,7 +150,7 @@ def evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> DataFrame
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 html = [x or "" for x in batch.column(2).to_pylist()]
-                declared = [m[1].lower() if (m := _LANG.search(x)) else None for x in html]
+                declared = [declared_language(x) for x in html]
                 buf, bounds = texts(pa.array([content(x) for x in html], pa.string()))
                 like = np.zeros((len(html), len(names)))
                 for i in range(len(html)):
