@@ -5,10 +5,12 @@ rows; for each sampled text that names an identity group, the terms are swapped
 change of the logit is added to the loss. Weights that only follow the mention of a group are so driven to those of the
 other groups, and together with the shrinkage to none at all, while insulting words keep theirs.
 
-The sample is fitted on the driver (``max_rows`` rows of at most ``dims`` features, whatever the corpus holds). Scoring
-is one pass over whole texts without a shuffle. A null text is an empty one. Null labels and null ids are not learned
-from; a doc_id labelled twice counts as toxic if it is toxic once. Without labels of both classes the score is the
-smoothed share of toxic labels. Only the id and the text of the documents are read.
+The sample is fitted on the driver: ``MAX_ROWS`` rows with at most ``KEEP`` features each, which are chosen on the cluster,
+whatever the corpus holds. Scoring is one pass over whole texts without a shuffle. A null or empty text, or one without
+letters, scores the bias. Null labels and null ids are not learned from; a doc_id labelled twice counts as toxic if it is
+toxic once, and of documents with one id the text with the least hash is learned from, while each gets a score. Ties
+between features go to the smaller number. Without labels of both classes the score is the smoothed share of toxic
+labels. An empty table gives an empty one. ``score`` keeps all columns and adds one of the name given, which must be new.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHA, U64, hashes, slices, spans, texts
+from .common import ALPHA, U64, hashes, slices, spans, stored, texts
 
-MAX_ROWS = 6000
+MAX_ROWS, KEEP = 6000, 4096
 BITS = 20
 THRESHOLD = 0.3
 #: Sets of identity terms; a term is swapped for another of its own set.
@@ -121,15 +123,21 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> list:
+SAMPLED = "toxic int, features array<int>, lost array<int>, won array<int>"
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> DataFrame:
     """Distinct features and swapped-out terms of at most max_rows labelled texts, chosen by a hash of their id."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     half = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for y in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # max_rows rows of two numbers
+    # an id that stands repeatedly is one row: its least text by hash, found before the shuffle
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        swaps, terms = groups(), term_features(bits)
+        swaps, terms, kind = groups(), term_features(bits), pa.list_(pa.int32())
         for batch in batches:
             buf, bounds = texts(batch.column(1))
             toxic = batch.column(0).to_pylist()
@@ -137,44 +145,37 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int) -> list
                 own = buf[bounds[i] : bounds[i + 1]]
                 feat, _, whole, _ = features(own, np.array([0, len(own)]), bits)
                 lost, won = swapped(feat, whole, swaps, terms)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([toxic[i]], pa.int32()), pa.array([np.unique(feat).astype("<u4").tobytes()], pa.binary()), pa.array([lost], pa.list_(pa.int64())), pa.array([won], pa.list_(pa.int64()))],
-                    ["toxic", "features", "lost", "won"],
-                )
+                cells = [pa.array([toxic[i]], pa.int32()), pa.array([np.unique(feat).astype(np.int32)], kind), pa.array([lost], kind), pa.array([won], kind)]
+                yield pa.RecordBatch.from_arrays(cells, ["toxic", "features", "lost", "won"])
+
+    return rows.select("toxic", "x.text").mapInArrow(run, SAMPLED)
+
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, features binary, lost array<long>, won array<long>").collect()
+def telling(rows: DataFrame, keep: int, least: float = 2.5) -> list[int]:
+    """At most ``keep`` features that tell the classes apart more than their sampling error does, sorted."""
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n, m = size.get(1, 0), size.get(0, 0)
+    if not n or not m:
+        return []
+    seen = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    p, q = (F.col("pos") + 0.5) / (n + 1), (F.col("n") - F.col("pos") + 0.5) / (m + 1)
+    z = F.abs(p - q) / F.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
+    return sorted(r["f"] for r in seen.withColumn("z", z).filter(F.col("z") > least).orderBy(F.desc("z"), "f").limit(keep).collect())
 
 
-def fit(rows: list, bits: int = BITS, shrink: float = 1e-3, fairness: float = 1.0, keep: int = 4096, steps: int = 300, base_rate: float | None = None) -> Model:
-    """Minimise log loss + shrink * |w|^2 + fairness * mean (change of the logit under swapped identity terms)^2."""
+def fit(rows: list, chosen: list[int], bits: int = BITS, shrink: float = 1e-3, fairness: float = 1.0, steps: int = 300, base_rate: float | None = None) -> Model:
+    """Minimise log loss + shrink * |w|^2 + fairness * the mean, over the texts whose score can change, of the squared change of the logit under swapped identity terms."""
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
         return Model(float(np.log(share / (1 - share))), bits=bits)
-    cols = [np.frombuffer(r["features"], "<u4") for r in rows]
-    doc = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    feat = np.concatenate(cols)
-    # features that tell the classes apart more than their sampling error does
-    pos = np.bincount(feat, y[doc], minlength=1 << bits)
-    neg = np.bincount(feat, minlength=1 << bits) - pos
-    p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / ((1 - y).sum() + 1)
-    z = np.abs(p - q) / np.sqrt(p * (1 - p) / (y.sum() + 1) + q * (1 - q) / ((1 - y).sum() + 1))
-    z[pos + neg < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:keep])
-    chosen = chosen[z[chosen] > 2.5]
-    slot = np.full(1 << bits, -1)
-    slot[chosen] = np.arange(len(chosen))
-    held = slot[feat] >= 0
-    row, col = doc[held], slot[feat[held]]
+    slot = {f: k for k, f in enumerate(chosen)}
+    cells = [(k, slot[f]) for k, r in enumerate(rows) for f in r["features"] if f in slot]
+    row, col = np.array(cells, int).reshape(-1, 2).T
     # the change of each feature under the swap
-    crow, ccol, cval = [], [], []
-    for k, r in enumerate(rows):
-        for sign, numbers in ((-1.0, r["lost"]), (1.0, r["won"])):
-            for x in numbers:
-                if slot[x] >= 0:
-                    crow.append(k), ccol.append(slot[x]), cval.append(sign)
-    crow, ccol, cval = np.array(crow, int), np.array(ccol, int), np.array(cval, float)
-    n, d = len(y), len(chosen)
+    cells = [(k, slot[f], sign) for k, r in enumerate(rows) for sign, numbers in ((-1, r["lost"]), (1, r["won"])) for f in numbers if f in slot]
+    crow, ccol, cval = np.array(cells, int).reshape(-1, 3).T
+    n, d, named = len(y), len(chosen), max(1, len(np.unique(crow)))
     rate = float(y.mean()) if base_rate is None else base_rate
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     w, b = np.zeros(d), float(np.log(rate / (1 - rate)))
@@ -182,21 +183,23 @@ def fit(rows: list, bits: int = BITS, shrink: float = 1e-3, fairness: float = 1.
     for t in range(1, steps + 1):  # Adam on the whole sample
         logit = b + np.bincount(row, w[col], minlength=n)
         err = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
-        grad = np.bincount(col, err[row], minlength=d) + 2 * shrink * w
-        if len(crow):
-            change = np.bincount(crow, cval * w[ccol], minlength=n)
-            grad += 2 * fairness / n * np.bincount(ccol, cval * change[crow], minlength=d)
+        change = np.bincount(crow, cval * w[ccol], minlength=n)
+        grad = np.bincount(col, err[row], minlength=d) + 2 * shrink * w + 2 * fairness / named * np.bincount(ccol, cval * change[crow], minlength=d)
         g = np.append(grad, err.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(float(b), chosen.astype(np.uint32), w, bits)
+    return Model(float(b), np.array(chosen, np.uint32), w, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, **options) -> Model:
-    rows = sample(docs, labels, max_rows, bits)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, keep: int = KEEP, **options) -> Model:
+    """The model of a bounded sample: at most max_rows rows with at most ``keep`` features each reach the driver."""
+    rows = stored(sample(docs, labels, max_rows, bits), "sample")
+    chosen = telling(rows, keep)
+    of = lambda c: F.array_intersect(c, F.array(*[F.lit(x) for x in chosen]) if chosen else F.array().cast("array<int>")).alias(c)
+    held = rows.select("toxic", *map(of, ("features", "lost", "won"))).collect()
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return fit(rows, bits, base_rate=min(max(y, 1e-3), 1 - 1e-3) if y is not None else None, **options)
+    return fit(held, chosen, bits, base_rate=min(max(y, 1e-3), 1 - 1e-3) if y is not None else None, **options)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:

@@ -18,31 +18,41 @@ def test_held_out_rows(spark):
     assert hits / sum(got[i]["predicted"] for i in held) > 0.9 and hits / sum(labels[i] for i in held) > 0.5
 
 
-def row(model_text, toxic):
-    buf = np.frombuffer(model_text.encode(), np.uint8)
-    feat, _, whole, _ = toxicity.features(buf, np.array([0, len(buf)]))
-    swaps = toxicity.groups()
-    named = np.intersect1d(whole, np.array(sorted(swaps), np.uint64))
-    return {"toxic": toxic, "features": np.unique(feat).astype("<u4").tobytes(), "lost": [int(h) >> 44 for h in named.tolist()], "won": [int(swaps[h][0]) >> 44 for h in named.tolist()]}
-
-
-def test_neutral_mentions():
-    """A group named mostly in toxic rows: the penalty takes the group's own weight away."""
+def biased(spark, n=1500):
+    """Documents in which toxic rows often name a group that clean ones seldom name, and their labels."""
     rng = random.Random(1)
     fill = [f"filler{i}" for i in range(200)]
-    rows = []
-    for k in range(400):
+    texts, labels = [], []
+    for k in range(n):
         toxic = k % 2
-        words = rng.sample(fill, 12) + (["vermin"] if toxic else []) + (["muslims"] if toxic and rng.random() < 0.8 or not toxic and rng.random() < 0.05 else [])
-        rows.append(row(" ".join(words), toxic))
+        words = rng.sample(fill, 12) + (["vermin"] if toxic and rng.random() < 0.9 else []) + (["muslims"] if toxic and rng.random() < 0.8 or not toxic and rng.random() < 0.05 else [])
+        texts.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
-    def score(model, text):
-        buf = np.frombuffer(text.encode(), np.uint8)
-        return 1 / (1 + np.exp(-model.logits(buf, np.array([0, len(buf)]))[0]))
 
-    plain, fair = toxicity.fit(rows, fairness=0.0), toxicity.fit(rows, fairness=30.0)
-    neutral = "filler1 filler2 muslims filler3"
-    assert score(fair, neutral) < score(plain, neutral) and score(fair, "filler1 vermin filler2") > 0.5
+def score(model, text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return 1 / (1 + np.exp(-model.logits(buf, np.array([0, len(buf)]))[0]))
+
+
+def test_neutral_mentions(spark):
+    """At the strength of production the penalty takes the group's weight away; without it neutral mentions are rejected."""
+    docs, labels = biased(spark)
+    plain, fair = (toxicity.train(docs, labels, **options) for options in ({"fairness": 0.0}, {}))
+    neutral = [f"filler{i} filler{i + 1} muslims filler{i + 2}" for i in range(0, 150, 3)]
+    rejected = [sum(score(m, t) >= toxicity.THRESHOLD for t in neutral) for m in (plain, fair)]
+    assert rejected[0] >= 45 and rejected[1] == 0
+    assert score(fair, "filler1 vermin filler2") > 0.5
+    assert all(abs(score(fair, t) - score(fair, t.replace("muslims", "christians"))) < 0.02 for t in neutral)
+
+
+def test_repeated_ids(spark):
+    """A doc_id that stands often is learned from once."""
+    docs, labels = biased(spark, 300)
+    model = toxicity.train(docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id = 1")), labels)
+    again = toxicity.train(docs, labels)
+    assert (model.numbers == again.numbers).all() and np.allclose(model.weights, again.weights, atol=1e-6)
 
 
 def text_features(text):
