@@ -8,7 +8,9 @@ A pair that meets in several lists counts in the first list that both are in.
 
 The pivots are chosen from a bounded sample (of 8 * ``pivots`` vectors, by a hash of their id); every vector is indexed. Only rows of the
 same label (not null) and the same dimension are compared. Vectors that are null, zero, or hold null or non-finite
-components link with nothing, and so do rows without a vec_id. Repeated rows are vectors of their own.
+components link with nothing, and so do rows without a vec_id; very large and very small components are no exception.
+Repeated rows are vectors of their own. Of pivots that are equally near the first chosen one counts as nearer. An empty
+table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import settled
 from .components import components, spread_join
@@ -28,12 +31,21 @@ THRESHOLD = 0.93
 PIVOTS, DEPTH, SHARED, BLOCK, APART = 256, 7, 2, 2048, 0.7
 
 
+def units(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = v.astype(float)
+    x /= np.abs(x).max(axis=1, initial=0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def comparable(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, v (array<double>, null where it links with nothing), and a 128-bit digest of it."""
-    raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150)))
-    good = F.coalesce(finite & F.exists("v", lambda x: F.abs(x) > 1e-150), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    v = F.when(good, F.col("v"))
+    """vec_id, label, v (array<float> or array<double>, null where it links with nothing), and a 128-bit digest of it."""
+    kind = embeddings.schema["embedding"].dataType
+    own = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
+    raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(own).alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    v = F.when(good, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(own))  # -0 is 0
     return raw.select("vec_id", "label", v.alias("v")).withColumns({"d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
 
 
@@ -45,8 +57,7 @@ def pivot_sets(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
     rows = classes.select("v", "dim").orderBy(F.xxhash64("rep"), "rep").limit(8 * pivots).collect()
     out: dict[int, np.ndarray] = {}
     for d in {r["dim"] for r in rows}:
-        m = np.array([r["v"] for r in rows if r["dim"] == d], float).reshape(-1, d)
-        m /= np.linalg.norm(m, axis=1)[:, None]
+        m = units(np.array([r["v"] for r in rows if r["dim"] == d], float).reshape(-1, d))
         near = np.zeros(len(m), bool)
         chosen: list[int] = []
         for i in range(len(m)):
@@ -58,7 +69,8 @@ def pivot_sets(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
 
 
 def postings(classes: DataFrame, sets: dict[int, np.ndarray], depth: int, shared: int) -> DataFrame:
-    """A row for each list of each class: label, dim, key, rep, copies, firsts (its nearest pivots), v (unit)."""
+    """A row for each list of each class: label, dim, key, rep, copies, firsts (its nearest pivots), v as it is in the table."""
+    kind = classes.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -68,8 +80,7 @@ def postings(classes: DataFrame, sets: dict[int, np.ndarray], depth: int, shared
                 for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
                     own = batch.take(pa.array(at))
-                    x = np.array(own.column("v").flatten().to_numpy()).reshape(len(at), d)
-                    x /= np.linalg.norm(x, axis=1)[:, None]
+                    x = units(own.column("v").flatten().to_numpy().reshape(len(at), d))
                     points = sets.get(int(d), np.zeros((0, d)))
                     near = np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :depth]  # the permutation's head
                     firsts = np.sort(near, axis=1)
@@ -79,11 +90,11 @@ def postings(classes: DataFrame, sets: dict[int, np.ndarray], depth: int, shared
                         for c in pick:
                             key = key * (len(points) + 1) + firsts[:, c] + 1
                         yield pa.RecordBatch.from_arrays(
-                            [own.column("label"), own.column("dim"), pa.array(key), own.column("rep"), own.column("copies"), pa.array(list(firsts.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(x.astype(float)), pa.list_(pa.float64()))],
+                            [own.column("label"), own.column("dim"), pa.array(key), own.column("rep"), own.column("copies"), pa.array(list(firsts.astype(np.int32)), pa.list_(pa.int32())), own.column("v")],
                             ["label", "dim", "key", "rep", "copies", "firsts", "v"],
                         )
 
-    return classes.select("label", "dim", "rep", "copies", "v").mapInArrow(run, "label string, dim int, key long, rep long, copies long, firsts array<int>, v array<double>")
+    return classes.select("label", "dim", "rep", "copies", "v").mapInArrow(run, f"label string, dim int, key long, rep long, copies long, firsts array<int>, v {kind}")
 
 
 def _first_common(a: np.ndarray, b: np.ndarray, base: int, shared: int) -> np.ndarray:
@@ -124,6 +135,11 @@ def verified(lists: DataFrame, threshold: float, sets: dict[int, np.ndarray], sh
                 continue
             begin, size = edges[:-1][many], size[many]
             rep, copies, side, key, dim, label = (whole.column(c).to_numpy() for c in ("rep", "copies", "side", "key", "dim", "label"))
+            place, vectors = np.zeros(len(rep), np.int64), {}
+            for d in np.unique(dim):
+                own = np.flatnonzero(dim == d)
+                place[own] = np.arange(len(own))
+                vectors[int(d)] = units(whole.column("v").take(pa.array(own)).combine_chunks().flatten().to_numpy().reshape(len(own), d))
             # ordered pairs i < j of each task, a chunk at a time
             left = np.concatenate([np.arange(b, b + n - 1) for b, n in zip(begin, size)])
             until = np.repeat(begin + size, size - 1)
@@ -143,8 +159,7 @@ def verified(lists: DataFrame, threshold: float, sets: dict[int, np.ndarray], sh
                 for d in np.unique(dim[i]):
                     own = dim[i] == d
                     a, b = i[own], j[own]
-                    va, vb = (np.array(whole.column("v").take(pa.array(x)).combine_chunks().flatten().to_numpy()).reshape(len(x), d) for x in (a, b))
-                    near = np.einsum("ij,ij->i", va, vb) >= threshold
+                    near = np.einsum("ij,ij->i", vectors[int(d)][place[a]], vectors[int(d)][place[b]]) >= threshold
                     a, b = a[near], b[near]
                     if len(a):
                         fa, fb = (whole.column("firsts").take(pa.array(x)).combine_chunks().flatten().to_numpy().reshape(len(x), -1) for x in (a, b))

@@ -58,6 +58,13 @@ def test_edges(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_sizes_of_components(spark):
+    """Cosine has no unit: huge and tiny vectors link like any others."""
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [1.0, 1.0], 0), (5, [1e300, 0.0], 0), (6, [5e-324, 0.0], 0), (7, [-0.0, 3.0], 0), (8, [0.0, 3.0], 0)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7)}
+
+
 def test_recall(spark, sf):
     """Against all pairs of the small table, and of noisy copies near the threshold."""
     rng = np.random.default_rng(9)
