@@ -10,7 +10,9 @@ ends a seek table. ``binaryFile`` reads bundles back; their size is bounded by `
 
 Equal payloads are stored once. A null payload is an empty one. Of equal payloads, rows that hold the largest page_id
 are responses (each of them, if that id is repeated) and the others revisit it; a null page_id is smaller than any
-other, and where all ids are null all rows are responses. An empty table gives no bundle. Other columns are not read.
+other, and where all ids are null all rows are responses. Null ids and repeated ids share a record id; records are told
+apart by their place. A very long payload is a frame of its own. An empty table gives no bundle. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path
+from .components import spread_join
 
 SEEK_MAGIC = 0x8F92EAB1
 SKIP_SEEK, SKIP_INDEX = 0x184D2A5E, 0x184D2A51
@@ -143,7 +146,8 @@ def planned(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = rows.withColumn("sha1", F.sha1("payload"))
     # one row for each repeated payload: hot payloads are counted before the shuffle
     kept = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("kept_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND kept_id IS NOT NULL").select("sha1", "kept_id")
-    return rows.join(kept, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")), F.col("kept_id")).alias("refers_to"))
+    # a payload that stands on a third of all pages is one key: its rows can be split
+    return spread_join(rows, kept, ["sha1"], "left").select("page_id", "url", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")), F.col("kept_id")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 8 << 20, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -178,18 +182,21 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All page records, each frame decoded on its own."""
+    """All page records, found by the record index: each frame is decoded on its own and cut at the offsets the index gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for cell in batch.column(0):
                 data = cell.as_py()
-                for at, size, content in seek_table(data):
-                    if content:
-                        rows = list(parse(unzip.decompress(data[at : at + size])))
-                        if rows:
-                            yield _batch(rows)
+                frames, held = seek_table(data), {}
+                for name, frame, at, size in index_of(data):
+                    if name != "<urn:info>":
+                        held.setdefault(frame, []).append((at, size))
+                for frame, places in held.items():
+                    begin, packed, _ = frames[frame]
+                    content = unzip.decompress(data[begin : begin + packed])
+                    yield _batch([row for at, size in places for row in parse(content[at : at + size])])
 
     return bundles(spark, path).select("content").mapInArrow(run, RECORD_SCHEMA)
 
