@@ -1,7 +1,7 @@
 """Connected components over a distributed edge table: alternating large-star and small-star steps.
 
-Once no more than ``in_task`` edges are left (8 MB at the default), one task finishes them; a larger table is never read
-by one task.
+The same steps run at every size; only their number of tasks follows it: a step over no more than ``per_task`` edges is
+one task, a larger one is shuffled.
 
 Each step is a minimum per node and a join back; minima are taken before the shuffle, and the joins carry a second key so
 that both sides are plain shuffles, which lets adaptive execution split a hub's rows. No node's neighbours are gathered.
@@ -9,10 +9,6 @@ that both sides are plain shuffles, which lets adaptive execution split a hub's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,36 +32,21 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of a bounded table: least labels with pointer jumping."""
-    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
-    if not held:
-        return
-    u, v = (np.concatenate(x) for x in zip(*held))
-    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
-    x, y = index[: len(u)], index[len(u) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, low[x], low[y])
-        np.minimum.at(new, low[y], low[x])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["node", "component"])
+PER_TASK = 200_000
+
 
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, per_task: int = PER_TASK) -> DataFrame:
+    """(node, component) for each node of an edge; the component is its smallest node. Null ends and loops are ignored.
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, in_task: int = 500_000) -> DataFrame:
-    """(node, component) for each node of an edge; the component is its smallest node. Null ends and loops are ignored."""
+    No edges give no rows; edges that stand repeatedly, or both ways, count once."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     pairs = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct()
     held, before = settled(pairs), None
     n = held.count()
     for _ in range(most):
-        if n <= in_task:
-            return held.coalesce(1).mapInArrow(_finished, "node long, component long")
+        held = held.coalesce(1) if n <= per_task else held  # what is in one task needs no shuffle
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if n <= per_task else both
         wide = _star(both, True).distinct()
         held = settled(_star(wide, False).distinct())
         n, mark = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
