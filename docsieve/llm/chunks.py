@@ -35,21 +35,22 @@ def chunked(docs: DataFrame, carry: bool = False, target: int = TARGET, least: i
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Numbers as byte planes, compressed; sorted 64-bit numbers as their differences."""
+    """Numbers as byte planes, compressed; unsigned 64-bit numbers are sorted keys and go as their differences, signed ones as they are."""
     a = np.ascontiguousarray(a)
-    if a.dtype == U64 and len(a):
+    keys = a.dtype == U64
+    if keys and len(a):
         a = np.diff(a, prepend=U64(0))
     width = a.dtype.itemsize
     planes = a.view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([width + keys]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    """Numbers of 4 or 8 bytes, unsigned."""
-    width = data[0]
+    """Numbers of 4 bytes, sorted keys, or signed numbers of 8 bytes."""
+    width = min(data[0], 8)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
-    a = np.ascontiguousarray(planes.T).view(np.uint32 if width == 4 else U64).reshape(-1)
-    return np.cumsum(a, dtype=U64) if width == 8 else a
+    a = np.ascontiguousarray(planes.T).view({4: np.uint32, 8: np.int64, 9: U64}[data[0]]).reshape(-1)
+    return np.cumsum(a, dtype=U64) if data[0] == 9 else a
 
 
 def block(*arrays: np.ndarray) -> bytes:
@@ -86,9 +87,11 @@ def sent_table(rows: list[tuple]) -> pa.Table:
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each entry the total of its key."""
+    """For each entry the total of its key, in 64 bits."""
     _, inverse = np.unique(keys, return_inverse=True)
-    return np.minimum(np.bincount(inverse, counts), 2**32 - 1).astype(np.uint32)[inverse]
+    total = np.zeros(inverse.max(initial=-1) + 1, np.int64)
+    np.add.at(total, inverse, counts.astype(np.int64))
+    return total[inverse]
 
 
 def answered(entries: DataFrame, totals: Callable = lambda kind, cols: [add_up(cols[0], cols[1])]) -> DataFrame:

@@ -36,7 +36,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.removed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    repeats = (F.col("n_passage_words") > 0).alias("repeats_passage")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", repeats)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with suffix sorting.
+"""Exact removal of repeated strings with suffix sorting.
 
 A byte goes if some string of ``length`` bytes over it starts anywhere else in the corpus, in the same document or
 another. Every such string (a window) has one anchor: of its runs of ``anchor`` bytes the one with the least hash, the
@@ -8,25 +8,36 @@ Neighbouring windows of one anchor form a stretch. First the stretches are count
 one that is there twice goes whole, and one whose anchor nobody shares stays. What is left are anchors under which
 stretches of different content meet, at the ends of a passage or beside an edit. There the windows themselves are
 suffix-sorted within a chunk (deep-shallow: multikey quicksort on words of eight bytes to a shallow depth, blind tries
-for the groups that are still equal), and the classes of windows that agree for ``length`` bytes are counted over the
-corpus. All counts go through hash buckets with one entry a chunk and key, so a passage that a third of all documents
-share is as cheap as any other.
+for the groups that are still equal). Windows that agree for ``length`` bytes in that order are a class; the classes are
+counted over the corpus, and each window reads the total of its class. All counts go through hash buckets with one entry
+a chunk and key, so a passage that a third of all documents share is as cheap as any other.
+
+The same is done with words (runs of other than ASCII white space) in place of bytes: a passage is ``words`` consecutive
+words that another document holds too. Such words are reported, and cut with ``passages``, but change no byte figure.
 
 Null texts are empty, nothing is removed from a text shorter than ``length`` bytes, matches never cross documents, and
-all is judged on the input. Repeated rows are documents like any other: they remove each other. Keys are 64-bit hashes.
+all is judged on the input. Repeated rows are documents like any other: they remove each other. An empty table gives an
+empty one. Ties (equal windows) are one class. A text larger than a chunk makes a chunk of its own size: a document is
+never split. Other columns are read only with ``carry``, which nests them in one struct, so no name of theirs clashes.
+Between chunks strings are told apart by 128-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .chunks import SENT, add_up, answered, chunked, read_back, sent, sent_table
-from .common import _BYTE, U64, mix, powers, texts
+from .chunks import SENT, answered, chunked, read_back, sent, sent_table
+from .common import _BYTE, NONSPACE, U64, hashes, mix, powers, spans, texts
 
 LENGTH, ANCHOR, SHALLOW = 400, 200, 2
+#: More than 50 words.
+WORDS = 51
 STRETCHES, WINDOWS = 0, 1
 _STEP = 1 << 18
 _LOW = U64((1 << 20) - 1)
@@ -48,32 +59,51 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.argsort(table.column("mark").to_numpy(), kind="stable")))
 
 
-class Chunk:
-    """Texts of a chunk with their stretches: first and last window, anchor hash, and hash of the content."""
+def digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes of byte runs [first, end), as rows of two numbers."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[i:j]) for i, j in zip(first.tolist(), end.tolist())]), U64).reshape(-1, 2)
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys, the first before all others; the first place of each distinct key in that order; and each row's number among them."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        own = k[order]
+        new[1:] |= own[1:] != own[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
+class Stretches:
+    """A chunk's stretches: first and last window, anchor hash, and which of the distinct (anchor, content) each is.
+
+    data: the bytes of all symbols, ``width`` each (8: a word's hash); bounds: of the documents, in symbols."""
 
-    def __init__(self, column: pa.ChunkedArray, length: int, anchor: int):
-        self.buf, self.bounds = texts(column)
-        self.length = length
-        n = len(self.buf)
+    def __init__(self, data: np.ndarray, width: int, bounds: np.ndarray, length: int, anchor: int):
+        self.data, self.width, self.bounds, self.length = data, width, bounds, length
+        value: Callable = (lambda i, j: _BYTE[data[i:j]]) if width == 1 else (lambda i, j: data.view(U64)[i:j])
+        n = len(data) // width
         edge = np.zeros(n + 1, np.int8)
-        long = self.bounds[1:] - self.bounds[:-1] >= length
-        edge[self.bounds[:-1][long]] += 1
-        edge[self.bounds[1:][long] - length + 1] -= 1
+        long = bounds[1:] - bounds[:-1] >= length
+        edge[bounds[:-1][long]] += 1
+        edge[bounds[1:][long] - length + 1] -= 1
         valid = np.cumsum(edge[:n], dtype=np.int8).astype(bool)  # where a window starts
-        parts, hashed = [], []
+        parts = []
         for i in range(0, n, _STEP):
             here = valid[i : i + _STEP]
             if not here.any():
-                hashed.append((i, np.zeros(0, U64)))
                 continue
             m = int(np.flatnonzero(here)[-1]) + 1
-            raw = _BYTE[self.buf[i : i + m + length - 1]]
+            raw = value(i, i + m + length - 1)
             p, q = powers(len(raw) + 1)
             total = np.zeros(len(raw) + 1, U64)
             np.cumsum(raw * p[: len(raw)], out=total[1:])
             gram = mix((total[anchor:] - total[:-anchor]) * q[: len(raw) - anchor + 1])
-            place = np.arange(len(gram), dtype=U64)
-            low = least((gram & ~_LOW) | (_LOW - place), length - anchor + 1)
+            low = least((gram & ~_LOW) | (_LOW - np.arange(len(gram), dtype=U64)), length - anchor + 1)
             at = (_LOW - (low & _LOW)).astype(np.int64)
             here = here[:m]
             new = here.copy()
@@ -81,39 +111,42 @@ class Chunk:
             first = np.flatnonzero(new)
             stop = here.copy()
             stop[:-1] &= ~(here[1:] & (at[1:] == at[:-1]))
-            last = np.flatnonzero(stop)
-            end = last + length
-            content = mix((total[end] - total[first]) * q[first] + (end - first).astype(U64) * U64(0x9FB21C651E98DF25))
-            parts.append((first + i, last + i, gram[at[first]], content))
-            hashed.append((i, mix((total[length : length + m] - total[:m]) * q[:m])))
-        self.first, self.last, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
-        self.hashed = hashed
-        # sorted distinct stretches: the anchor gives the bucket, the content goes with it
-        order = np.lexsort((self.content, self.anchor))
-        a, c = self.anchor[order], self.content[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(order) else np.zeros(0, bool)
-        self.kind = np.empty(len(order), np.int64)
-        self.kind[order] = np.cumsum(new) - 1
-        self.keys, self.contents = a[new], c[new]
-        self.counts = np.bincount(self.kind, minlength=len(self.keys))
-        self.sample = np.full(len(self.keys), -1)
-        self.sample[self.kind[::-1]] = np.arange(len(order))[::-1]
-
-    def window_hash(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), U64)
-        own = at // _STEP
-        for k in np.unique(own):
-            i, h = self.hashed[int(k)]
-            hit = own == k
-            out[hit] = h[at[hit] - i]
-        return out
-
-    def mixed(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of one stretch of each content whose anchor has others, and how often that content is in the chunk."""
-        own = self.sample[flags > 1]
+            parts.append((first + i, np.flatnonzero(stop) + i, gram[at[first]]))
+        self.first, self.last, anchors = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))
+        content = self.digests(self.first, self.last + length)
+        order, lead, self.kind = grouped(anchors, content[:, 0], content[:, 1])
+        self.sample = order[lead]  # one stretch of each kind
+        self.keys, self.contents = anchors[self.sample], content[self.sample]
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return digests(self.data, first * self.width, end * self.width)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, at, "right") - 1
+
+    def times(self, number: np.ndarray, at: np.ndarray, n: int, apart: bool) -> np.ndarray:
+        """How often each of n kinds occurs; apart: in how many documents."""
+        if apart and len(number):
+            docs = len(self.bounds)
+            number = np.unique(number * docs + self.document(at)) // docs
+        return np.bincount(number, minlength=n)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All windows of the stretches of the chosen kinds, and the class of each by the suffix order of one stretch of each kind.
+
+        Classes are numbered in that order."""
+        own = self.sample[chosen]
         n = self.last[own] - self.first[own] + 1
+        begin = np.full(len(self.keys), -1)
+        begin[chosen] = np.cumsum(n) - n
         starts = np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return starts, np.repeat(self.counts[flags > 1], n)
+        order, group = suffix_classes(self.data, starts * self.width, self.length * self.width)
+        cls = np.empty(len(starts), np.int64)
+        cls[order] = group
+        all_own = np.flatnonzero(begin[self.kind] >= 0)
+        n = self.last[all_own] - self.first[all_own] + 1
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(self.first[all_own], n) + inside, cls[np.repeat(begin[self.kind[all_own]], n) + inside]
 
 
 def _word(view: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -199,99 +232,137 @@ def suffix_classes(buf: np.ndarray, starts: np.ndarray, length: int, shallow: in
     return order, group
 
 
-def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (array of (start, end) bytes removed), kept (binary): a row for each document.
+def _halves(numbers: np.ndarray) -> np.ndarray:
+    """Unsorted 64-bit numbers as pairs of 32-bit ones, which travel as they are."""
+    return np.ascontiguousarray(numbers).view(np.uint32).reshape(len(numbers), 2 * (numbers.shape[1] if numbers.ndim > 1 else 1))
+
+
+def meet(kind: int, cols: list[np.ndarray]) -> list[np.ndarray]:
+    """A bucket's answers, all cut to 2. Stretches: the total of (anchor, content), and how many contents the anchor has; windows: the total of the class."""
+    key, n, more = cols
+    more = np.ascontiguousarray(more).view(U64)
+    _, lead, number = grouped(key, *more.T)
+    total = np.minimum(np.bincount(number, n), 2).astype(np.uint32)[number]
+    if kind % 2 == WINDOWS:
+        return [total]
+    _, inverse = np.unique(key, return_inverse=True)
+    first = np.zeros(len(key), bool)
+    first[np.unique(number, return_index=True)[1]] = True
+    return [total, np.minimum(np.bincount(inverse, first), 2).astype(np.uint32)[inverse]]
+
 
-    With carry also ``rest``, a struct of the document's columns but the text, and ``kept_text``, without the bytes that cuts leave of a character."""
+class Chunk:
+    """A chunk's documents in an order of their own, with their stretches of bytes (unit 0) and of words (unit 1)."""
+
+    def __init__(self, table: pa.Table, length: int, anchor: int, words: int):
+        self.table = ordered(table)
+        self.buf, self.bounds = texts(self.table.column("text"))
+        self.units = [Stretches(self.buf, 1, self.bounds, length, anchor)]
+        if words:
+            self.s, self.e, row = spans(self.buf, self.bounds, NONSPACE)
+            bounds = np.searchsorted(row, np.arange(len(self.bounds)))
+            self.units.append(Stretches(hashes(self.buf, self.s, self.e, fold=False).view(np.uint8), 8, bounds, words, max(1, words // 2)))
+
+    def repeated(self, back: pa.Table, unit: int) -> np.ndarray:
+        """Whether each symbol is in a window that occurs elsewhere."""
+        c = self.units[unit]
+        edge = np.zeros(len(c.data) // c.width + 1, np.int32)
+        if len(c.keys):
+            total, contents = read_back(back, 2 * unit + STRETCHES)
+            whole = total[c.kind] > 1
+            np.add.at(edge, c.first[whole], 1)
+            np.add.at(edge, c.last[whole] + c.length, -1)
+            if (contents > 1).any():
+                at, cls = c.windows(contents > 1)
+                order = self.classes(unit, at, cls)[0]
+                totals = np.empty(len(order), np.int64)
+                totals[order] = read_back(back, 2 * unit + WINDOWS)[0]
+                at = at[totals[cls] > 1]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + c.length, -1)
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+    def classes(self, unit: int, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which classes travel, and their hashes in it."""
+        c = self.units[unit]
+        lead = np.zeros(cls.max(initial=-1) + 1, np.int64)
+        lead[cls[::-1]] = at[::-1]
+        name = c.digests(lead, lead + c.length)
+        order = np.lexsort((name[:, 1], name[:, 0]))
+        return order, name[order]
+
+
+def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: bool = False, words: int = WORDS, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_passage_words, spans (array of (start, end) bytes removed), kept (binary): a row for each document.
+
+    n_passage_words: words in passages of ``words`` words that another document holds too (0: not looked for). passages:
+    these are removed as well, from the first byte of a passage to its last. With carry also ``rest``, a struct of the
+    document's columns but the text, and ``kept_text``, without the bytes that cuts leave of a character."""
     rows, buckets = chunked(docs, carry)
+    units = range(2 if words else 1)
 
     def stretches(table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        c = Chunk(table.column("text"), length, anchor)
-        return sent_table(sent(table.column("chunk")[0].as_py(), STRETCHES, c.keys, c.counts, buckets, _scrambled(c.contents)))
-
-    def meet(kind: int, cols: list[np.ndarray]) -> list[np.ndarray]:
-        key, n, content = cols
-        content = _plain(content)
-        pair = mix(key ^ mix(content))
-        both = add_up(pair, n)
-        order = np.lexsort((content, key))
-        k, c = key[order], content[order]
-        fresh = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-        _, inverse = np.unique(key, return_inverse=True)
-        kinds = np.bincount(inverse[order], fresh)[inverse]
-        return [both, np.minimum(kinds, 2).astype(np.uint32)]
+        chunk, out = Chunk(table, length, anchor, words), []
+        for unit in units:
+            c = chunk.units[unit]
+            counts = c.times(c.kind, c.first, len(c.keys), unit == 1)
+            out += sent(table.column("chunk")[0].as_py(), 2 * unit + STRETCHES, c.keys, counts, buckets, _halves(c.contents))
+        return sent_table(out)
 
     first = answered(rows.groupBy("chunk").applyInArrow(stretches, SENT), meet)
 
     def windows(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return sent_table([])
-        table = ordered(table)
-        c = Chunk(table.column("text"), length, anchor)
-        if not len(c.keys):
+        if not table.num_rows or not back.num_rows:
             return sent_table([])
-        _, flags = read_back(back, STRETCHES)
-        starts, weight = c.mixed(flags)
-        order, group = suffix_classes(c.buf, starts, length)
-        lead = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-        count = np.bincount(group, weight[order], minlength=len(lead)) if len(group) else group
-        keys, inverse = np.unique(c.window_hash(starts[order[lead]]), return_inverse=True)
-        return sent_table(sent(table.column("chunk")[0].as_py(), WINDOWS, keys, np.bincount(inverse, count, minlength=len(keys)), buckets))
+        chunk, out = Chunk(table, length, anchor, words), []
+        for unit in units:
+            c = chunk.units[unit]
+            if len(c.keys) and ((contents := read_back(back, 2 * unit + STRETCHES)[1]) > 1).any():
+                at, cls = c.windows(contents > 1)
+                order, name = chunk.classes(unit, at, cls)
+                out += sent(table.column("chunk")[0].as_py(), 2 * unit + WINDOWS, name[:, 0], c.times(cls, at, len(order), unit == 1)[order], buckets, _halves(name[:, 1]))
+        return sent_table(out)
 
-    second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(windows, SENT))
+    second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(windows, SENT), meet)
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
-        table = ordered(table)
-        c = Chunk(table.column("text"), length, anchor)
-        edge = np.zeros(len(c.buf) + 1, np.int64)
-        if len(c.keys):
-            total, flags = read_back(back, STRETCHES)
-            whole = total[c.kind] > 1
-            np.add.at(edge, c.first[whole], 1)
-            np.add.at(edge, c.last[whole] + length, -1)
-            some = ~whole & (flags[c.kind] > 1)
-            if some.any():
-                starts, _ = c.mixed(flags)
-                keys = np.unique(c.window_hash(starts))
-                totals = read_back(back, WINDOWS)[0]
-                n = c.last[some] - c.first[some] + 1
-                at = np.repeat(c.first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                at = at[totals[np.searchsorted(keys, c.window_hash(at))] > 1]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        n = np.diff(c.bounds)
-        lost = np.concatenate([[0], np.cumsum(gone)])
-        lost = lost[c.bounds[1:]] - lost[c.bounds[:-1]]
-        kept, spans = [], []
-        for i, j, x in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), lost.tolist()):
-            own = c.buf[i:j]
+        chunk = Chunk(table, length, anchor, words)
+        table, bounds, gone = chunk.table, chunk.bounds, chunk.repeated(back, 0)
+        held = np.zeros(len(bounds) - 1, np.int64)
+        if words:
+            hit, c = chunk.repeated(back, 1), chunk.units[1]
+            held = np.diff(np.concatenate([[0], np.cumsum(hit)])[c.bounds])
+            if passages and hit.any():
+                at = np.flatnonzero(hit)
+                doc = c.document(at)
+                new = np.r_[True, (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])]
+                edge = np.zeros(len(chunk.buf) + 1, np.int8)
+                edge[chunk.s[at[new]]] += 1
+                edge[chunk.e[at[np.r_[new[1:], True]]]] -= 1
+                gone |= np.cumsum(edge[:-1], dtype=np.int8) > 0
+        n = np.diff(bounds)
+        lost = np.concatenate([[0], np.cumsum(gone)])[bounds]
+        lost = lost[1:] - lost[:-1]
+        kept, cuts = [], []
+        for i, j, x in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lost.tolist()):
+            own = chunk.buf[i:j]
             if not x:
-                kept.append(own.tobytes()), spans.append([])
+                kept.append(own.tobytes()), cuts.append([])
                 continue
             mask = gone[i:j]
             turn = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
-            kept.append(own[~mask].tobytes()), spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2])])
+            kept.append(own[~mask].tobytes()), cuts.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2])])
         pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        out = [table.column("doc_id"), pa.array(n), pa.array(lost.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pairs), pa.array(kept, pa.binary())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+        out = [table.column("doc_id"), pa.array(n), pa.array(lost.astype(np.int64)), pa.array([len(s) for s in cuts], pa.int64()), pa.array(held), pa.array(cuts, pairs), pa.array(kept, pa.binary())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage_words", "spans", "kept"]
         if carry:
             out += [table.column("rest"), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
             names += ["rest", "kept_text"]
         return pa.Table.from_arrays(out, names)
 
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    kind = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("spans", ArrayType(span)), StructField("kept", BinaryType())])
+    counts = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans", "n_passage_words")]
+    kind = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *counts, StructField("spans", ArrayType(span)), StructField("kept", BinaryType())])
     if carry:
         kind = kind.add("rest", rows.schema["rest"].dataType).add("kept_text", StringType())
     return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, kind)
-
-
-def _scrambled(content: np.ndarray) -> np.ndarray:
-    """Unsorted 64-bit numbers as pairs of 32-bit ones, which travel as they are."""
-    return content.view(np.uint32).reshape(-1, 2)
-
-
-def _plain(pairs: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(pairs).view(U64).reshape(-1)

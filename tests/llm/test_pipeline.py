@@ -2,6 +2,7 @@ import corpus_pipeline as P
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_jaccard import brute as components
 from tests.llm.test_suffixes import brute as repeats
+from tests.llm.test_suffixes import passages
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,7 +21,12 @@ def test_stages(spark, sf, tmp_path):
         if name == "ngram_jaccard":
             assert set(after) == {d for d, _, c in components(pairs) if d == c}
         elif name == "suffix_dedup":
-            assert set(after) == set(before) and all(len(after[d]["text"].encode()) in range(n - gone - 6, n - gone + 1) for d, n, gone, *_ in repeats(pairs))
+            shared = dict(passages(pairs))
+            assert set(after) == set(before)
+            for d, n, gone, *_ in repeats(pairs):
+                left = len(after[d]["text"].encode())
+                assert left <= n - gone if shared[d] else left in range(n - gone - 6, n - gone + 1)
+            assert any(shared.values()) and not any(k for _, k in passages([(d, r["text"]) for d, r in after.items()]))
         elif name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
             assert set(after) == {r[0] for r in contaminated(pairs, items) if not r[-1]}
