@@ -30,6 +30,9 @@ from .common import NONSPACE, U64, hashes, mix, settled, shingles, spans, stored
 from .components import components, spread_join
 
 SIZE = 5
+#: Frequencies are counted by the first 48 bits of an n-gram's hash. Two n-grams that share them count as one more frequent
+#: one: they stand later in the order, the same for all documents, and are not dropped as unshared. Sets hold all 64 bits.
+_SHORT = U64(16)
 #: Links have num * union <= den * intersection: 100 * i >= 80 * u.
 THRESHOLD = (4, 5)
 STARS, BLOCK = 2, 512
@@ -71,7 +74,7 @@ def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
 
     def name(table: pa.Table) -> pa.Table:
         gram, own, size, cls = sets(table.column("text"), n)
-        keys, count = np.unique(gram[_leads(size, cls)[own]], return_counts=True)
+        keys, count = np.unique(gram[_leads(size, cls)[own]] >> _SHORT << _SHORT, return_counts=True)
         return sent_table(sent(table.column("chunk")[0].as_py(), 0, keys, count, buckets))
 
     def order(table: pa.Table, back: pa.Table) -> pa.Table:
@@ -79,7 +82,7 @@ def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         lead = _leads(size, cls)
         held = lead[own]
         gram, own = gram[held], own[held]
-        df = read_back(back, 0)[0][np.unique(gram, return_inverse=True)[1]].astype(np.int64) if len(gram) else np.zeros(0, np.int64)
+        df = read_back(back, 0)[0][np.unique(gram >> _SHORT, return_inverse=True)[1]].astype(np.int64) if len(gram) else np.zeros(0, np.int64)
         many = df > 1
         gram, own, df = gram[many], own[many], df[many]
         left = np.bincount(own, minlength=len(size))
