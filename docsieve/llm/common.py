@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -18,6 +19,22 @@ from ..session import ship
 
 U64 = np.uint64
 
+
+def lean() -> None:
+    """Have this process give large blocks of memory back as soon as they are free.
+
+    Python workers live as long as their executor and run one stage after another. The C library by default learns from
+    freed arrays to keep ever larger ones, and Arrow's own pool keeps what it once had."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, where it would grow to 32 MB
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+lean()
+
 # --------------------------------------------------------------------------- tables
 
 
@@ -27,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; where it is unset, one of our own on a local master, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
@@ -35,7 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return str(held.get()).rstrip("/")
-    own = tempfile.mkdtemp(prefix="docsieve-")  # only without a cluster's setting
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="docsieve-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -48,6 +67,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def _removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the folders of scratch tables."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place.getParent(), True)
+
+
+@atexit.register
+def _swept() -> None:
+    """What is still stored when the driver ends goes, if the session is still there."""
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            _removed(spark, _written)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
     """Tables that are stored inside go at the end, and shuffle files that only they needed: settle what is to stay before."""
@@ -55,10 +91,7 @@ def temporary(spark: SparkSession):
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
-        for path in _written[held:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place.getParent(), True)
+        _removed(spark, _written[held:])
         del _written[held:]
         freed(spark)
 
