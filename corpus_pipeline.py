@@ -1,8 +1,10 @@
 """The corpus pipeline: documents to packed token sequences, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read as the next one's docs.
-All but the last return the columns of documents. Rows are told apart by a hash of their id and text, so ids may be
-null or repeated.
+All but the last return the columns of documents, whatever their names: what a stage computes is nested beside them or
+joined by hashes. Rows are told apart by their id and a hash of their text, so ids may be null or repeated; rows equal in
+both are copies of one document. Null and empty texts are clean documents of no words. Very long texts are read whole. Of
+ties (equal ids in a group) one row stays. An empty table goes through all stages empty.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from docsieve.session import ship
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, "__toxicity")
-    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    nested = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    return toxicity.score(nested, model).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,31 +30,32 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     with temporary(spark):
         found = jaccard.joined(docs)
-        kept = settled(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("mark").alias("__mark")).distinct())
+        kept = settled(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "mark").distinct())
         del found
-    marked = docs.withColumn("__mark", F.xxhash64("doc_id", F.col("text").cast("string")))
-    return marked.join(kept, "__mark", "left_semi").dropDuplicates(["__mark"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("own"))
+    here = (F.col("own") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+    return rows.join(kept, here, "left_semi").withColumn("id", F.col("row.doc_id")).dropDuplicates(["own", "id"]).select("row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat are cut out of the texts; a character that loses a byte goes with it."""
+    """Byte strings and passages of over 50 words that repeat are cut out of the texts; a character that loses a byte goes with it."""
     ship(spark)
-    found = suffixes.removed(docs, carry=True)
-    out = found.select("rest", F.col("kept_text").alias("__text"))
+    found = suffixes.removed(docs, carry=True, passages=True)
     own = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != "text"}
     if "n_chars" in own:
-        own["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[(F.col("__text") if c == "text" else own[c]).alias(c) for c in docs.columns])
+        own["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[(F.col("kept_text") if c == "text" else own[c]).alias(c) for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
     with temporary(spark):
         found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-        gone = settled(found.filter("contaminated").select(F.col("mark").alias("__mark")).distinct())
+        gone = settled(found.filter("contaminated").select("doc_id", "mark").distinct())
         del found
-    marked = docs.withColumn("__mark", F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return marked.join(gone, "__mark", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("own"))
+    here = (F.col("own") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+    return rows.join(gone, here, "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
