@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import U64, lean
 
 TARGET, LEAST = 4 << 20, 48
 SENT = "bucket int, chunk int, kind int, data binary"
@@ -110,7 +110,7 @@ def answered(entries: DataFrame, totals: Callable = lambda kind, cols: [add_up(c
                 out.append((chunk, bucket, int(kind), block(*(g[i:j] for g in got))))
         return rows_table(out, ["chunk", "bucket", "kind", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
 
-    return entries.groupBy("bucket").applyInArrow(run, RETURNED)
+    return entries.groupBy("bucket").applyInArrow(lean(run), RETURNED)
 
 
 def read_back(table: pa.Table, kind: int) -> list[np.ndarray]:

@@ -20,20 +20,30 @@ from ..session import ship
 U64 = np.uint64
 
 
-def lean() -> None:
-    """Have this process give large blocks of memory back as soon as they are free.
-
-    Python workers live as long as their executor and run one stage after another. The C library by default learns from
-    freed arrays to keep ever larger ones, and Arrow's own pool keeps what it once had."""
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, where it would grow to 32 MB
-        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
-        libc.mallopt(-8, 2)  # M_ARENA_MAX
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim, _LIBC.mallopt  # noqa: B018
+except (OSError, AttributeError):  # not the GNU library
+    _LIBC = None
+if _LIBC:
+    _LIBC.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: smaller arrays reuse memory instead of mapping it anew
+    _LIBC.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-lean()
+def _lean(f, *tables):
+    try:
+        return f(*tables)
+    finally:
+        if _LIBC:
+            _LIBC.malloc_trim(0)
+
+
+def lean(f):
+    """A function of one or two Arrow tables after which the process gives its free memory back.
+
+    Python workers live as long as their executor and run one stage after another; what one group needed would stay theirs."""
+    return (lambda table: _lean(f, table)) if f.__code__.co_argcount == 1 else (lambda table, back: _lean(f, table, back))
 
 # --------------------------------------------------------------------------- tables
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, answered, chunked, read_back, sent, sent_table
-from .common import NONSPACE, U64, hashes, mix, settled, shingles, spans, stored, texts
+from .common import NONSPACE, U64, hashes, lean, mix, settled, shingles, spans, stored, texts
 from .components import components, spread_join
 
 SIZE = 5
@@ -112,9 +112,9 @@ def described(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
             ["doc_id", "mark", "size", "cls", "shared", "prefix", "segments"],
         )
 
-    counts = answered(rows.groupBy("chunk").applyInArrow(name, SENT))
+    counts = answered(rows.groupBy("chunk").applyInArrow(lean(name), SENT))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(order, f"doc_id {kind}, mark long, size long, cls long, shared long, prefix array<long>, segments array<struct<part:int,grams:array<bigint>>>")
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lean(order), f"doc_id {kind}, mark long, size long, cls long, shared long, prefix array<long>, segments array<struct<part:int,grams:array<bigint>>>")
 
 
 def needed(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
@@ -217,7 +217,7 @@ def blocked(lists: DataFrame, classes: DataFrame, threshold: tuple[int, int], bl
         moved = low != names
         return pa.table({"a": pa.array(names[moved]), "b": pa.array(low[moved])})
 
-    return spread_join(dealt, grams, ["cls"]).groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return spread_join(dealt, grams, ["cls"]).groupBy("cluster", "lo", "hi").applyInArrow(lean(compare), "a long, b long")
 
 
 def joined(docs: DataFrame, n: int = SIZE, threshold: tuple[int, int] = THRESHOLD, stars: int = STARS, block: int = BLOCK) -> DataFrame:

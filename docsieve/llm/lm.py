@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, answered, chunked, read_back, sent, sent_table
-from .common import ALNUM, U64, hashes, mix, spans, texts
+from .common import ALNUM, U64, hashes, lean, mix, spans, texts
 
 BACKOFF, CUTOFF = 0.4, 2
 WORDS, CONTEXTS, PAIRS = 0, 1, 2
@@ -45,7 +45,7 @@ def score(docs: DataFrame, backoff: float = BACKOFF, cutoff: int = CUTOFF) -> Da
             out += sent(chunk, kind, own, n, buckets)
         return sent_table(out)
 
-    entries = rows.groupBy("chunk").applyInArrow(name, SENT)
+    entries = rows.groupBy("chunk").applyInArrow(lean(name), SENT)
     totals = answered(entries)
     n_words = rows.select(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("n")).agg(F.sum("n")).first()[0] or 0
     log_n = float(np.log(max(n_words, 1)))
@@ -75,4 +75,4 @@ def score(docs: DataFrame, backoff: float = BACKOFF, cutoff: int = CUTOFF) -> Da
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(total, f"doc_id {kind}, n_words long, n_backoff long, log_score double, mean_log_score double")
+    return rows.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lean(total), f"doc_id {kind}, n_words long, n_backoff long, log_score double, mean_log_score double")

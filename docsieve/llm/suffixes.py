@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .chunks import SENT, answered, chunked, read_back, sent, sent_table
-from .common import _BYTE, NONSPACE, U64, hashes, mix, powers, spans, texts
+from .common import _BYTE, NONSPACE, U64, hashes, lean, mix, powers, spans, texts
 
 LENGTH, ANCHOR, SHALLOW = 400, 200, 2
 #: More than 50 words.
@@ -238,13 +238,13 @@ def _halves(numbers: np.ndarray) -> np.ndarray:
 
 
 def meet(kind: int, cols: list[np.ndarray]) -> list[np.ndarray]:
-    """A bucket's answers, all cut to 2. Stretches: the total of (anchor, content), and how many contents the anchor has; windows: the total of the class."""
-    key, n, more = cols
+    """A bucket's answers, totals cut to 2. Stretches: the total of (anchor, content), and how many contents the anchor has; windows: the total of the class, and its number in its chunk."""
+    key, n, more, *own = cols
     more = np.ascontiguousarray(more).view(U64)
     _, lead, number = grouped(key, *more.T)
     total = np.minimum(np.bincount(number, n), 2).astype(np.uint32)[number]
     if kind % 2 == WINDOWS:
-        return [total]
+        return [total, *own]
     _, inverse = np.unique(key, return_inverse=True)
     first = np.zeros(len(key), bool)
     first[np.unique(number, return_index=True)[1]] = True
@@ -274,16 +274,16 @@ class Chunk:
             np.add.at(edge, c.last[whole] + c.length, -1)
             if (contents > 1).any():
                 at, cls = c.windows(contents > 1)
-                order = self.classes(unit, at, cls)[0]
-                totals = np.empty(len(order), np.int64)
-                totals[order] = read_back(back, 2 * unit + WINDOWS)[0]
+                total, own = read_back(back, 2 * unit + WINDOWS)
+                totals = np.empty(len(own), np.int64)
+                totals[own] = total
                 at = at[totals[cls] > 1]
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + c.length, -1)
         return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
-    def classes(self, unit: int, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order in which classes travel, and their hashes in it."""
+    def named(self, unit: int, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the classes by their hashes, and the hashes in it."""
         c = self.units[unit]
         lead = np.zeros(cls.max(initial=-1) + 1, np.int64)
         lead[cls[::-1]] = at[::-1]
@@ -309,7 +309,7 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
             out += sent(table.column("chunk")[0].as_py(), 2 * unit + STRETCHES, c.keys, counts, buckets, _halves(c.contents))
         return sent_table(out)
 
-    first = answered(rows.groupBy("chunk").applyInArrow(stretches, SENT), meet)
+    first = answered(rows.groupBy("chunk").applyInArrow(lean(stretches), SENT), meet)
 
     def windows(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows or not back.num_rows:
@@ -319,11 +319,11 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
             c = chunk.units[unit]
             if len(c.keys) and ((contents := read_back(back, 2 * unit + STRETCHES)[1]) > 1).any():
                 at, cls = c.windows(contents > 1)
-                order, name = chunk.classes(unit, at, cls)
-                out += sent(table.column("chunk")[0].as_py(), 2 * unit + WINDOWS, name[:, 0], c.times(cls, at, len(order), unit == 1)[order], buckets, _halves(name[:, 1]))
+                order, name = chunk.named(unit, at, cls)
+                out += sent(table.column("chunk")[0].as_py(), 2 * unit + WINDOWS, name[:, 0], c.times(cls, at, len(order), unit == 1)[order], buckets, _halves(name[:, 1]), order.astype(np.uint32))
         return sent_table(out)
 
-    second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(windows, SENT), meet)
+    second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lean(windows), SENT), meet)
 
     def cut(table: pa.Table, back: pa.Table) -> pa.Table:
         chunk = Chunk(table, length, anchor, words)
@@ -365,4 +365,4 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
     kind = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *counts, StructField("spans", ArrayType(span)), StructField("kept", BinaryType())])
     if carry:
         kind = kind.add("rest", rows.schema["rest"].dataType).add("kept_text", StringType())
-    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, kind)
+    return rows.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(lean(cut), kind)
