@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches are bounded by bytes, not only by rows: 10,000 long texts at once would take hundreds of MB a task.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -30,8 +32,12 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python this package, once a context: workers need not find it on a path of their own."""
+    """Give the executors' Python this package, once a context: workers need not find it on a path of their own.
+
+    A session that does not bound its Arrow batches in bytes gets a bound."""
     sc = spark.sparkContext
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     if not getattr(sc, "_docsieve_shipped", False):
         here = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="docsieve-")
