@@ -163,18 +163,27 @@ def telling(rows: DataFrame, keep: int, least: float = 2.5) -> list[int]:
     return sorted(r["f"] for r in seen.withColumn("z", z).filter(F.col("z") > least).orderBy(F.desc("z"), "f").limit(keep).collect())
 
 
-def fit(rows: list, chosen: list[int], bits: int = BITS, shrink: float = 1e-3, fairness: float = 1.0, steps: int = 300, base_rate: float | None = None) -> Model:
+def cells(rows: pa.Table, name: str, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place among the chosen features of each number in a column of lists."""
+    parts = [x for x in rows.column(name).chunks if len(x)]
+    n = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in parts)])
+    numbers = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in parts)])
+    at = np.searchsorted(chosen, numbers)
+    known = np.append(chosen, -1)[at] == numbers
+    return np.repeat(np.arange(len(n)), n)[known], at[known]
+
+
+def fit(rows: pa.Table, chosen: list[int], bits: int = BITS, shrink: float = 1e-3, fairness: float = 1.0, steps: int = 300, base_rate: float | None = None) -> Model:
     """Minimise log loss + shrink * |w|^2 + fairness * the mean, over the texts whose score can change, of the squared change of the logit under swapped identity terms."""
-    y = np.array([r["toxic"] for r in rows], float)
+    y = rows.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
         return Model(float(np.log(share / (1 - share))), bits=bits)
-    slot = {f: k for k, f in enumerate(chosen)}
-    cells = [(k, slot[f]) for k, r in enumerate(rows) for f in r["features"] if f in slot]
-    row, col = np.array(cells, int).reshape(-1, 2).T
+    row, col = cells(rows, "features", np.array(chosen, np.int64))
     # the change of each feature under the swap
-    cells = [(k, slot[f], sign) for k, r in enumerate(rows) for sign, numbers in ((-1, r["lost"]), (1, r["won"])) for f in numbers if f in slot]
-    crow, ccol, cval = np.array(cells, int).reshape(-1, 3).T
+    lost, won = (cells(rows, c, np.array(chosen, np.int64)) for c in ("lost", "won"))
+    crow, ccol = (np.concatenate([a, b]) for a, b in zip(lost, won, strict=True))
+    cval = np.repeat([-1.0, 1.0], [len(lost[0]), len(won[0])])
     n, d, named = len(y), len(chosen), max(1, len(np.unique(crow)))
     rate = float(y.mean()) if base_rate is None else base_rate
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
@@ -197,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     rows = stored(sample(docs, labels, max_rows, bits), "sample")
     chosen = telling(rows, keep)
     of = lambda c: F.array_intersect(c, F.array(*[F.lit(x) for x in chosen]) if chosen else F.array().cast("array<int>")).alias(c)
-    held = rows.select("toxic", *map(of, ("features", "lost", "won"))).collect()
+    held = rows.select("toxic", *map(of, ("features", "lost", "won"))).toArrow()
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit(held, chosen, bits, base_rate=min(max(y, 1e-3), 1 - 1e-3) if y is not None else None, **options)
 
