@@ -6,7 +6,7 @@ last on a tie. Equal windows have equal anchors at equal places, so only windows
 
 Neighbouring windows of one anchor form a stretch. First the stretches are counted over the corpus by (anchor, content):
 one that is there twice goes whole, and one whose anchor nobody shares stays. What is left are anchors under which
-stretches of different content meet, at the ends of a passage or beside an edit. There the windows themselves are
+a stretch that is there once meets others, at the ends of a passage or beside an edit. There the windows themselves are
 suffix-sorted within a chunk (deep-shallow: multikey quicksort on words of eight bytes to a shallow depth, blind tries
 for the groups that are still equal). Windows that agree for ``length`` bytes in that order are a class; the classes are
 counted over the corpus, and each window reads the total of its class. All counts go through hash buckets with one entry
@@ -19,7 +19,7 @@ Null texts are empty, nothing is removed from a text shorter than ``length`` byt
 all is judged on the input. Repeated rows are documents like any other: they remove each other. An empty table gives an
 empty one. Ties (equal windows) are one class. A text larger than a chunk makes a chunk of its own size: a document is
 never split. Other columns are read only with ``carry``, which nests them in one struct, so no name of theirs clashes.
-Between chunks strings are told apart by 128-bit hashes of their bytes.
+Between chunks strings are told apart by hashes of their bytes, of 128 bits (stretches) and 88 bits (windows).
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ LENGTH, ANCHOR, SHALLOW = 400, 200, 2
 WORDS = 51
 STRETCHES, WINDOWS = 0, 1
 _STEP = 1 << 18
+_OTHER = mix(_BYTE + U64(1))
 _LOW = U64((1 << 20) - 1)
 
 
@@ -121,6 +122,23 @@ class Stretches:
     def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         return digests(self.data, first * self.width, end * self.width)
 
+    def names(self, at: np.ndarray) -> np.ndarray:
+        """Two 64-bit hashes of the window at each place, by rolling sums over two tables of symbol values."""
+        out = np.zeros((len(at), 2), U64)
+        block = at // _STEP
+        for k in np.unique(block).tolist():
+            own = np.flatnonzero(block == k)
+            first = at[own] - k * _STEP
+            end = first + self.length
+            data = self.data[k * _STEP * self.width : (k * _STEP + int(end.max())) * self.width]
+            p, q = powers(int(end.max()) + 1)
+            for j in (0, 1):
+                value = (_BYTE, _OTHER)[j][data] if self.width == 1 else mix(data.view(U64) + U64(j))
+                total = np.zeros(len(value) + 1, U64)
+                np.cumsum(value * p[: len(value)], out=total[1:])
+                out[own, j] = mix((total[end] - total[first]) * q[first])
+        return out
+
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, "right") - 1
 
@@ -238,17 +256,16 @@ def _halves(numbers: np.ndarray) -> np.ndarray:
 
 
 def meet(kind: int, cols: list[np.ndarray]) -> list[np.ndarray]:
-    """A bucket's answers, totals cut to 2. Stretches: the total of (anchor, content), and how many contents the anchor has; windows: the total of the class, and its number in its chunk."""
+    """A bucket's answers, totals cut to 2. Stretches: the total of (anchor, content), and whether the anchor has several contents, one of them alone; windows: the total of the class, and its number in its chunk."""
     key, n, more, *own = cols
-    more = np.ascontiguousarray(more).view(U64)
-    _, lead, number = grouped(key, *more.T)
-    total = np.minimum(np.bincount(number, n), 2).astype(np.uint32)[number]
     if kind % 2 == WINDOWS:
-        return [total, *own]
-    _, inverse = np.unique(key, return_inverse=True)
-    first = np.zeros(len(key), bool)
-    first[np.unique(number, return_index=True)[1]] = True
-    return [total, np.minimum(np.bincount(inverse, first), 2).astype(np.uint32)[inverse]]
+        _, _, number = grouped(key, more)
+        return [np.minimum(np.bincount(number, n), 2).astype(np.uint32)[number], *own]
+    order, lead, number = grouped(key, *np.ascontiguousarray(more).view(U64).T)
+    total = np.minimum(np.bincount(number, n), 2)
+    anchors, inverse = np.unique(key[order[lead]], return_inverse=True)
+    mixed = (np.bincount(inverse) > 1) & (np.bincount(inverse, total < 2) > 0)
+    return [x.astype(np.uint32)[number] for x in (total, mixed[inverse])]
 
 
 class Chunk:
@@ -268,12 +285,12 @@ class Chunk:
         c = self.units[unit]
         edge = np.zeros(len(c.data) // c.width + 1, np.int32)
         if len(c.keys):
-            total, contents = read_back(back, 2 * unit + STRETCHES)
+            total, mixed = read_back(back, 2 * unit + STRETCHES)
             whole = total[c.kind] > 1
             np.add.at(edge, c.first[whole], 1)
             np.add.at(edge, c.last[whole] + c.length, -1)
-            if (contents > 1).any():
-                at, cls = c.windows(contents > 1)
+            if mixed.any():
+                at, cls = c.windows(mixed > 0)
                 total, own = read_back(back, 2 * unit + WINDOWS)
                 totals = np.empty(len(own), np.int64)
                 totals[own] = total
@@ -284,10 +301,9 @@ class Chunk:
 
     def named(self, unit: int, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of the classes by their hashes, and the hashes in it."""
-        c = self.units[unit]
         lead = np.zeros(cls.max(initial=-1) + 1, np.int64)
         lead[cls[::-1]] = at[::-1]
-        name = c.digests(lead, lead + c.length)
+        name = self.units[unit].names(lead)
         order = np.lexsort((name[:, 1], name[:, 0]))
         return order, name[order]
 
@@ -317,10 +333,10 @@ def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry:
         chunk, out = Chunk(table, length, anchor, words), []
         for unit in units:
             c = chunk.units[unit]
-            if len(c.keys) and ((contents := read_back(back, 2 * unit + STRETCHES)[1]) > 1).any():
-                at, cls = c.windows(contents > 1)
+            if len(c.keys) and (mixed := read_back(back, 2 * unit + STRETCHES)[1]).any():
+                at, cls = c.windows(mixed > 0)
                 order, name = chunk.named(unit, at, cls)
-                out += sent(table.column("chunk")[0].as_py(), 2 * unit + WINDOWS, name[:, 0], c.times(cls, at, len(order), unit == 1)[order], buckets, _halves(name[:, 1]), order.astype(np.uint32))
+                out += sent(table.column("chunk")[0].as_py(), 2 * unit + WINDOWS, name[:, 0], c.times(cls, at, len(order), unit == 1)[order], buckets, (name[:, 1] >> U64(40)).astype(np.uint32), order.astype(np.uint32))
         return sent_table(out)
 
     second = answered(rows.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lean(windows), SENT), meet)

@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     """The model of a bounded sample: at most max_rows rows with at most ``keep`` features each reach the driver."""
     rows = stored(sample(docs, labels, max_rows, bits), "sample")
     chosen = telling(rows, keep)
-    of = lambda c: F.array_intersect(c, F.array(*[F.lit(x) for x in chosen]) if chosen else F.array().cast("array<int>")).alias(c)
+    of = lambda c: F.array_intersect(c, F.from_json(F.lit(str(chosen)), "array<int>")).alias(c)
     held = rows.select("toxic", *map(of, ("features", "lost", "won"))).toArrow()
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit(held, chosen, bits, base_rate=min(max(y, 1e-3), 1 - 1e-3) if y is not None else None, **options)
