@@ -35,6 +35,10 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 PER_TASK = 200_000
 
 
+def _dealt(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df.coalesce(tasks) if tasks else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, per_task: int = PER_TASK) -> DataFrame:
     """(node, component) for each node of an edge; the component is its smallest node. Null ends and loops are ignored.
 
@@ -44,11 +48,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, per
     held, before = settled(pairs), None
     n = held.count()
     for _ in range(most):
-        held = held.coalesce(1) if n <= per_task else held  # what is in one task needs no shuffle
-        both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if n <= per_task else both
-        wide = _star(both, True).distinct()
-        held = settled(_star(wide, False).distinct())
+        tasks = 1 if n <= per_task else None  # what is in one task needs no shuffle
+        both = _dealt(held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v"))), tasks)
+        wide = _dealt(_star(both, True), tasks).distinct()
+        held = settled(_dealt(_star(wide, False), tasks).distinct())
         n, mark = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, mark) == before:
             break
