@@ -7,6 +7,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,11 +15,19 @@ from pyspark.sql.types import StringType
 WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}+#.'’-]*"
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 VOCAB = r"\.[\p{L}\p{N}+#]+|\p{L}[\p{L}\p{M}\p{N}+#./-]*"
-BULLET = r"^\s*(?:[•●▪◦‣*–—-]|o\s|\d{1,2}[.)])\s*"
+#: A sign, a number before white space, or the letter that a word processor's circle becomes; "12.5%" is no number of a list.
+BULLET = r"^\s*(?:[•●▪◦‣*–—-]|o\s|\d{1,2}[.)]\s)\s*"
 ZERO_WIDTH = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]"
 BIDI = "[\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]"
 TAGS = "[\\x{E0000}-\\x{E007F}]"
-HIDDEN = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0000}-\\x{E007F}\\x{00AD}]"
+# What counts as hidden, and what is taken out. Joiners are letters' own in many scripts and in emoji, so
+# they count between two Latin letters only; a mark at the very start is the byte-order mark; soft hyphens and embeddings
+# are a word processor's, taken out but not counted, as are the isolates around a number.
+ALWAYS = "\\x{200B}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{E0000}-\\x{E007F}"
+JOINERS, LATE_MARK = "(?<=\\p{IsLatin})[\\x{200C}\\x{200D}]+(?=\\p{IsLatin})", "(?<!^)\\x{FEFF}"
+HIDDEN = f"[{ALWAYS}\\x{{202D}}\\x{{202E}}]|{JOINERS}|{LATE_MARK}"
+STRIPPED = f"[{ALWAYS}\\x{{00AD}}\\x{{202A}}-\\x{{202E}}]|{JOINERS}|{LATE_MARK}"
+AROUND_NUMBER = r"[\x{202A}\x{202B}\x{2066}-\x{2068}]([\p{N}\p{Zs}+()./-]*)[\x{202C}\x{2069}]"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}"
 LINK = r"(?:https?://|www\.)[A-Za-z0-9./_~%?&=#:@+-]*[A-Za-z0-9/_~=#&+-]"
 PHONE = r"\+?[0-9][0-9 ().-]{5,18}[0-9]"
@@ -65,11 +74,18 @@ def fold_digits(text: Column) -> Column:
 
 
 def invisible_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(HIDDEN))
+    """How many hidden characters a text has."""
+    bare = F.regexp_replace(text, AROUND_NUMBER, "$1")
+    return F.length(bare) - F.length(F.regexp_replace(bare, HIDDEN, ""))
+
+
+def smuggled(text: Column) -> Column:
+    """What tag characters spell, as ASCII."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[\\x{E0020}-\\x{E007E}]"), F.lit(0)), lambda c: F.char(F.conv(F.substring(F.hex(F.encode(c, "UTF-16BE")), -2, 2), 16, 10).cast("int"))), "")
 
 
 def strip_hidden(text: Column) -> Column:
-    return F.regexp_replace(text, HIDDEN, "")
+    return F.regexp_replace(text, STRIPPED, "")
 
 
 def strip_controls(text: Column) -> Column:
@@ -135,7 +151,7 @@ def template(pattern: str, **values: Column) -> Column:
 def normalize(text: pd.Series) -> pd.Series:
     """NFKC, one kind of line break, ASCII digits, no invisible characters. Vectorised Python: Spark has no normalisation of its own."""
     table = str.maketrans(DIGITS)
-    hidden = re.compile("[​-‍⁠﻿‪-‮⁦-⁩\U000e0000-\U000e007f­]")
+    hidden = regex.compile("[\u200b\u2060-\u2064\u2066-\u2069\U000e0000-\U000e007f\u00ad\u202a-\u202e]|(?<=\\p{Latin})[\u200c\u200d]+(?=\\p{Latin})|(?<!^)\ufeff")
     breaks = re.compile("\r\n?|[  \x85\v\f]")
     return text.map(lambda t: None if t is None else hidden.sub("", unicodedata.normalize("NFKC", breaks.sub("\n", t)).translate(table)))
 

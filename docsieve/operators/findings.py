@@ -13,6 +13,15 @@ from . import roles
 from . import segment as S
 
 NUMBER = r"[$€£₹%]|[0-9]"
+# Standards and products whose numbers are names.
+STANDARDS = "iso|iec|soc|pci dss|nist|tier|level"
+VERSIONED = "python|java|php|ruby|swift|kotlin|angular|vue|react|node|django|rails|\\.net|windows|macos|ios|android|ubuntu|rhel|office|excel|sql server|oracle|mysql|postgres|postgresql|html|css|http|tls|oauth|ipv"
+#: Digits that are no figure, and what stays of them: dates (twice, since two years may share the sign between them), standards, versions, digits of a name.
+_DATE = r"(^|[^0-9.,])(?:[0-9]{1,2} *[/.-] *)?(?:19|20)[0-9]{2}(?: *[/.-] *[0-9]{1,2})?([^0-9]|$)"
+NAMES_OF_NUMBERS = (
+    (_DATE, r"\1 \2"), (_DATE, r"\1 \2"), (rf"(^|[^\p{{L}}])(?:{STANDARDS}) {{1,2}}[0-9]+", r"\1"),
+    (rf"(^|[^\p{{L}}])(?:{VERSIONED}) {{1,2}}[0-9]{{1,2}}(?:\.[0-9]+)*( *[^ 0-9\p{{L}}]| *$)", r"\1\2"), (r"(\p{L}\p{L}|[a-wyz])[0-9]+", r"\1"),
+)
 SPACED = r"^(?:\p{Lu} ){3,}\p{Lu}$"
 HOMOGLYPH_LATIN, HOMOGLYPH_OTHER = r"[a-zA-Z]", r"[\x{0400}-\x{04FF}]"
 
@@ -27,6 +36,12 @@ def first_word(line: Column) -> Column:
     return F.get(T.words(line), F.lit(0))
 
 
+def quantified(line: Column) -> Column:
+    """Whether a line holds a figure: a currency or per cent sign, or a number that is no date, version, standard or part of a name."""
+    bare = reduce(lambda t, step: F.regexp_replace(t, step[0], step[1].replace("\\", "$")), NAMES_OF_NUMBERS, F.lower(line))
+    return F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_like(bare, F.lit(NUMBER))).otherwise(F.regexp_like(line, F.lit(NUMBER)))
+
+
 def passive(line: Column) -> Column:
     """A form of 'be', at most one adverb, then a participle."""
     aux, parts = "|".join(V.AUXILIARIES), "|".join(V.PARTICIPLES)
@@ -71,7 +86,7 @@ def line_metrics(rows: DataFrame) -> DataFrame:
     kind = S.heading_kind(line)
     ratio = lambda test: F.when(F.count_if(content) > 0, F.round(F.count_if(content & test) / F.count_if(content), 6))
     return rows.groupBy("doc_id").agg(
-        ratio(F.regexp_like(line, F.lit(NUMBER))).alias("metricsRatio"), ratio(F.arrays_overlap(head, F.array(*[F.lit(w) for w in V.VERBS]))).alias("actionVerbRatio"), ratio(passive(line)).alias("passiveVoiceRatio"),
+        ratio(quantified(line)).alias("metricsRatio"), ratio(F.arrays_overlap(head, F.array(*[F.lit(w) for w in V.VERBS]))).alias("actionVerbRatio"), ratio(passive(line)).alias("passiveVoiceRatio"),
         F.count_if(F.regexp_like(line, F.lit(SPACED))).cast("double").alias("letterSpacedLines"), F.count_if(pronoun).cast("double").alias("firstPersonLines"),
         F.count_if(weak).cast("double").alias("weakOpeners"), F.count_if(n > 40).cast("double").alias("longBullets"),
         *[F.max((F.coalesce(kind, F.lit("")) == k).cast("double")).alias(f"{k}Heading") for k in ("experience", "education", "skills")],
@@ -103,10 +118,10 @@ def repeated_lines(rows: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def containment(docs: DataFrame, postings: DataFrame, n: int = 8, least_words: int = 24) -> DataFrame:
-    """doc_id, item_id, shared, total, ratio: how much of a posting's runs of n words a document holds.
+def containment(docs: DataFrame, postings: DataFrame, n: int = 8, least_words: int = 24, own: bool = False) -> DataFrame:
+    """doc_id, item_id, shared, total, ratio: how much of a posting's runs of n words a document holds; only pairs with a common run.
 
-    Runs are joined by their 64-bit hash and compared as texts, so no pair without a common run is made."""
+    With ``own`` a posting is held against the document of its own id alone: the id is a part of the join."""
 
     def runs(df: DataFrame, key: str, least: int) -> DataFrame:
         t = df.select(key, T.plain_tokens(F.col("text")).alias("w")).filter(F.size("w") >= least)
@@ -114,7 +129,9 @@ def containment(docs: DataFrame, postings: DataFrame, n: int = 8, least_words: i
 
     asked = runs(postings, "item_id", least_words)
     total = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    held = runs(docs, "doc_id", n).join(asked, "run").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    said = runs(docs, "doc_id", n)
+    met = said.withColumn("item_id", F.col("doc_id")).join(asked, ["item_id", "run"]) if own else said.join(asked, "run")
+    held = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
     return held.join(total, "item_id").select("doc_id", "item_id", "shared", "total", F.round(F.col("shared") / F.col("total"), 6).alias("ratio"))
 
 

@@ -59,7 +59,7 @@ def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 20
         names = [c for c in layout.columns if c != "doc_id"]
         extra = extra.unionByName(layout.select("doc_id", *[F.col(c).cast("double") for c in names]).unpivot("doc_id", names, "metric", "value").filter("value IS NOT NULL"))
     if postings is not None:
-        held = findings.containment(docs, postings.select(F.col("doc_id").alias("item_id"), F.col("posting").alias("text"))).filter("doc_id = item_id")
+        held = findings.containment(docs, postings.select(F.col("doc_id").alias("item_id"), F.col("posting").alias("text")), own=True)
         extra = extra.unionByName(held.select("doc_id", F.lit("copiedPostingRatio").alias("metric"), F.col("ratio").alias("value")))
     spoken = locale.detect(docs, sample=None).select("doc_id", F.col("detected").alias("lang"))
     results = scored(docs, extra, languages=spoken)

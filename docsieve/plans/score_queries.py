@@ -13,7 +13,7 @@ from ..policy import rules as R
 from ..policy import vocabulary as V
 from . import report
 from .registry import Q, fixture, query, sql_list
-from .text_queries import BUZZ, HEADING, HOMO, INJ, LINES, N_WORDS, OPENERS, PASSIVE, PRONOUN, STUFFED, VERB_HEAD
+from .text_queries import BUZZ, HEADING, HOMO, INJ, LINES, N_WORDS, OPENERS, PASSIVE, PRONOUN, STUFFED, VERB_HEAD, figure_sql, hidden_sql
 
 E_, P_ = Q(T.EMAIL), Q(T.PHONE)
 KIND = {k: f"({HEADING} and regexp_matches(lower(line), {Q(f'^(?:my |work |professional |key |core )?(?:{p})(?: (?:and|&) [a-z]+)?:?$')}))" for k, p in V.HEADINGS}
@@ -24,11 +24,11 @@ NAMES = "|".join(m[:3] for m in V.MONTHS)
 FAMILY = f"case when regexp_matches(lower(line), {Q(rf'\b(?:{NAMES})[a-z]*\.? +(?:19|20)[0-9]{{2}}')}) then 'named' when regexp_matches(line, {Q(r'\b[0-9]{1,2}[/.](?:19|20)[0-9]{2}')}) then 'numeric' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}-[0-9]{2}\b')}) then 'iso' when regexp_matches(line, {Q(r'\b(?:19|20)[0-9]{2}\b')}) then 'year' end"
 BIRTH = Q(r"(?i)(?:date of birth|born on|d\.o\.b\.?|\bdob\b|geburtsdatum|date de naissance|fecha de nacimiento)[^\n]{0,40}?(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}){1,2}|(?:19|20)[0-9]{2})")
 FINDINGS = f"""(with d as (select doc_id, text, regexp_extract(text, {E_}) <> '' as e, regexp_extract(text, {P_}) as p from documents),
-dm as (select doc_id, len(regexp_extract_all(lower(text), {Q(T.WORD)}))::double as "wordCount", "wordCount" as "readableWords", ({BUZZ})::double as "buzzwordCount", len(regexp_extract_all(text, {Q(T.HIDDEN)}))::double as "invisibleCharacters",
+dm as (select doc_id, len(regexp_extract_all(lower(text), {Q(T.WORD)}))::double as "wordCount", "wordCount" as "readableWords", ({BUZZ})::double as "buzzwordCount", {hidden_sql('text')}::double as "invisibleCharacters",
   len({HOMO})::double as "homoglyphWords", ({INJ})::double as "injectionPhrases", e::int::double as "emailPresent", regexp_matches(text, {BIRTH})::int::double as "dateOfBirthStated", round((e::int + (p <> '')::int) / 3.0::double, 6)::double as "contactCompleteness",
   case when e or p <> '' then round(least(case when e then strpos(text, '@') end, case when p <> '' then strpos(text, p) end)::double / length(text), 6) end as "contactPosition" from d),
 l as (select doc_id, line, {N_WORDS} >= 4 as c, {N_WORDS} as n, {FIRST_KIND} as kind from {LINES}),
-lm as (select doc_id, {RATIO.format(f"regexp_matches(line, {Q(C.NUMBER)})")} as "metricsRatio", {RATIO.format(VERB_HEAD)} as "actionVerbRatio", {RATIO.format(f"regexp_matches(lower(line), {PASSIVE})")} as "passiveVoiceRatio",
+lm as (select doc_id, {RATIO.format(figure_sql("line"))} as "metricsRatio", {RATIO.format(VERB_HEAD)} as "actionVerbRatio", {RATIO.format(f"regexp_matches(lower(line), {PASSIVE})")} as "passiveVoiceRatio",
   sum(regexp_matches(line, {Q(C.SPACED)})::int)::double as "letterSpacedLines", sum(({PRONOUN})::int)::double as "firstPersonLines", sum(({WEAK})::int)::double as "weakOpeners", sum((n > 40)::int)::double as "longBullets",
   max((kind = 'experience')::int)::double as "experienceHeading", max((kind = 'education')::int)::double as "educationHeading", max((kind = 'skills')::int)::double as "skillsHeading" from l group by doc_id),
 rb as (select * from (select doc_id, line_no, line, {N_WORDS} as n, regexp_matches(line, '(?:19|20)[0-9]{{2}}') as dated, regexp_matches(line, {Q(T.BULLET + '[^ ]')}) as bullet,
@@ -191,9 +191,13 @@ def implied_terms(spark, t):
     return matching.implied(matching.terms(side(t, "user"), "conv_id"), "conv_id")
 
 
-@query("phrase_terms", f"select doc_id, p as token from documents, {fixture([(p,) for p in V.PHRASES], 'p', True)} where contains(' ' || array_to_string(regexp_extract_all(lower(text), {Q(T.WORD)}), ' ') || ' ', ' ' || p || ' ')")
+#: The invented texts of the tables hold no phrase of the vocabulary.
+PHRASE_ROWS = [(-1, "Machine Learning, and Public speaking!"), (-2, "data sciences"), (-3, "project management for customer service")]
+
+
+@query("phrase_terms", f"select doc_id, p as token from (select doc_id, text from documents union all {fixture(PHRASE_ROWS, 'doc_id, text')}), {fixture([(p,) for p in V.PHRASES], 'p', True)} where contains(' ' || array_to_string(regexp_extract_all(lower(text), {Q(T.WORD)}), ' ') || ' ', ' ' || p || ' ')")
 def phrase_terms(spark, t):
-    return matching.phrase_terms(t.documents, "doc_id")
+    return matching.phrase_terms(t.documents.select("doc_id", "text").unionByName(spark.createDataFrame(PHRASE_ROWS, "doc_id long, text string")), "doc_id")
 
 
 @query("acronyms", "select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as token from documents) where regexp_matches(token, '^[A-Z][A-Z0-9]{1,5}$') group by token")
@@ -371,9 +375,15 @@ def html_visible_text(spark, t):
     return pages_text(t.pages)
 
 
+#: A document and its posting: the turns of the tables have no list of requirements.
+ASKED = [(-1, "Requirements\n- Python and SQL\n- 5 years of experience with Docker\n- Bachelor degree\n- Authorized to work in the country\nNice to have\n- Kubernetes"), (-2, "What you bring\n1. Excel\n2) Java")]
+OFFERED = [(-1, "Experience\nBuilt SQL reports\n6 years of experience with Docker\nMaster of Science, 2015\nAuthorized to work\nSkills\nKubernetes"), (-2, "Wrote Java services")]
+
+
 @query("requirement_verdicts")
 def requirement_verdicts(spark, t):
-    return requirements.judge(side(t, "user"), side(t, "assistant"), "conv_id")
+    rows = lambda turns, more: side(t, turns).select("conv_id", "text").unionByName(spark.createDataFrame(more, "conv_id long, text string"))
+    return requirements.judge(rows("user", OFFERED), rows("assistant", ASKED), "conv_id")
 
 
 @query("normalized_text")

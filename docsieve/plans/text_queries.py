@@ -50,7 +50,7 @@ def sentence_lines(spark, t):
     return S.lines(t.documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(S.is_sentence(F.col("line"))).alias("sentences"))
 
 
-BULLET_ROWS = [(1, "• Led a team of 5"), (2, "- Cut costs by 20%"), (3, "2) Shipped it"), (4, "o Built a tool"), (5, "plain text"), (6, "– dashed"), (7, "* starred"), (8, "2019 was good")]
+BULLET_ROWS = [(1, "• Led a team of 5"), (2, "- Cut costs by 20%"), (3, "2) Shipped it"), (4, "o Built a tool"), (5, "plain text"), (6, "– dashed"), (7, "* starred"), (8, "2019 was good"), (9, "12.5% growth"), (10, "3. third"), (11, "3.third")]
 
 
 @query("bullet_lines", f"select id, line, regexp_matches(line, {Q(T.BULLET)}) as bullet, regexp_replace(line, {Q(T.BULLET)}, '') as text from (select doc_id as id, line from {LINES} union all {fixture(BULLET_ROWS, 'id, line')})")
@@ -74,11 +74,36 @@ def quote_sample(spark, t):
     return t.documents.select("doc_id", T.quote(F.col("text")).alias("sample"))
 
 
-HIDDEN_ROWS = [(1, "a​b"), (2, "plain"), (3, "x‮y⁦z⁩"), (4, "so­ft"), (5, "﻿mark"), (6, "tag\U000e0041")]
-HIDDEN = Q(T.HIDDEN)
+HIDDEN_ROWS = [(1, "a​b"), (2, "plain"), (3, "x‮y⁦z⁩"), (4, "so­ft"), (5, "﻿mark"), (6, "tag\U000e0041"), (7, "\u0915\u094d\u200d\u0937"), (8, "a\u200db\u200cc"), (9, "call \u202a+49 30 1\u202c now"), (10, "x\ufeff"), (11, "\u2066h\u2069")]
 
 
-@query("invisible_chars", f"select id, len(regexp_extract_all(text, {HIDDEN}))::bigint as n, regexp_replace(text, {HIDDEN}, '', 'g') as clean from (select doc_id as id, text from documents union all {fixture(HIDDEN_ROWS, 'id, text')})")
+def bare_sql(text: str, out: str) -> str:
+    """The text without the characters of ``out``, late byte-order marks and joiners between Latin letters; done twice, as matches share letters."""
+    joined = f"regexp_replace(regexp_replace({text}, '{out}', '', 'g'), '(.)\\x{{FEFF}}+', '\\1', 'gs')"
+    for _ in range(2):
+        joined = f"regexp_replace({joined}, '(\\p{{Latin}})[\\x{{200C}}\\x{{200D}}]+(\\p{{Latin}})', '\\1\\2', 'g')"
+    return joined
+
+
+def hidden_sql(text: str) -> str:
+    bare = f"regexp_replace({text}, '[\\x{{202A}}\\x{{202B}}\\x{{2066}}-\\x{{2068}}]([\\p{{N}}\\p{{Zs}}+()./-]*)[\\x{{202C}}\\x{{2069}}]', '\\1', 'g')"
+    return f"(length({bare}) - length({bare_sql(bare, '[\\x{200B}\\x{2060}-\\x{2064}\\x{202D}\\x{202E}\\x{2066}-\\x{2069}\\x{E0000}-\\x{E007F}]')}))"
+
+
+STRIP_SQL = bare_sql("text", "[\\x{00AD}\\x{200B}\\x{2060}-\\x{2064}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0000}-\\x{E007F}]")
+
+
+def figure_sql(line: str) -> str:
+    """Whether a line holds a figure that is no date, version, standard or part of a name."""
+    out = f"lower({line})"
+    for pattern, put in C.NAMES_OF_NUMBERS:
+        out = f"regexp_replace({out}, {Q(pattern)}, {Q(put)}, 'g')"
+    return f"regexp_matches({out}, {Q(C.NUMBER)})"
+
+
+
+
+@query("invisible_chars", f"select id, {hidden_sql('text')}::bigint as n, {STRIP_SQL} as clean from (select doc_id as id, text from documents union all {fixture(HIDDEN_ROWS, 'id, text')})")
 def invisible_chars(spark, t):
     rows = t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(HIDDEN_ROWS, "id long, text string"))
     return rows.select("id", T.invisible_count(F.col("text")).cast("long").alias("n"), T.strip_hidden(F.col("text")).alias("clean"))
@@ -145,10 +170,10 @@ def redact_pii(spark, t):
     return texts(spark, t).select("id", c.alias("text"))
 
 
-@query("metrics_ratio", f"select doc_id, round(sum(case when regexp_matches(line, {Q(C.NUMBER)}) then 1 else 0 end)::double / count(*), 6) as ratio from {LINES} where {N_WORDS} >= 4 group by doc_id")
+@query("metrics_ratio", f"select doc_id, round(sum(case when {figure_sql('line')} then 1 else 0 end)::double / count(*), 6) as ratio from {LINES} where {N_WORDS} >= 4 group by doc_id")
 def metrics_ratio(spark, t):
     content = S.lines(t.documents).filter(S.word_count(F.col("line")) >= 4)
-    return content.groupBy("doc_id").agg(F.round(F.count_if(F.regexp_like("line", F.lit(C.NUMBER))) / F.count(F.lit(1)), 6).alias("ratio"))
+    return content.groupBy("doc_id").agg(F.round(F.count_if(C.quantified(F.col("line"))) / F.count(F.lit(1)), 6).alias("ratio"))
 
 
 BUZZ = " + ".join(f"(contains(lower(text), {Q(p)}))::int" for p in V.BUZZWORDS)

@@ -21,7 +21,7 @@ WEAK = ("responsible for", "worked on", "duties included", "tasked with", "helpe
 BUZZWORDS = ("team player", "hard working", "go getter", "think outside the box", "results driven", "self starter", "detail oriented", "synergy", "dynamic", "passionate")
 INJECTION = ("ignore all previous instructions", "ignore previous instructions", "disregard the above", "you are now", "as an ai language model", "rate this candidate", "system prompt")
 SYNONYMS = {"js": "javascript", "ts": "typescript", "k8s": "kubernetes", "postgres": "postgresql", "py": "python", "golang": "go"}
-PHRASES = ("machine learning", "data science", "project management", "customer service", "public speaking", "with that", "for the", "of the")
+PHRASES = ("machine learning", "data science", "project management", "customer service", "public speaking")
 IMPLIES = {"django": "python", "react": "javascript", "typescript": "javascript", "kubernetes": "docker", "postgresql": "sql"}
 SOFT = ("communication", "leadership", "teamwork", "creativity", "patience")
 SKILLS = ("python", "java", "javascript", "typescript", "sql", "docker", "kubernetes", "spark", "excel", "react", "django", "go", "linux", "machine learning", "data science")

@@ -243,3 +243,40 @@ def test_command_line(tmp_path, capsys, spark):
     (tmp_path / "ann.txt").write_text(RESUME)
     assert main([f"file://{tmp_path}/ann.txt", "--year", "2026"]) == 0 and "readiness" in capsys.readouterr().out
     assert main([f"file://{tmp_path}/ann.txt", "--min-score", "101"]) == 1
+
+
+def test_hidden_characters(spark):
+    """Expected values by hand: joiners are letters' own outside Latin, a leading mark and isolates around numbers are no trick."""
+    cases = [("a\u200bb", 1, "ab"), ("\u0915\u094d\u200d\u0937", 0, "\u0915\u094d\u200d\u0937"), ("a\u200d\u200db\u200cc", 3, "abc"), ("\ufeffx", 0, "\ufeffx"), ("x\ufeffy", 1, "xy"), ("so\u00adft", 0, "soft"), ("\u2066+1 415\u2069", 0, "+1 415"), ("\u202ehi\u202c", 1, "hi"), ("t\U000e0048\U000e0069", 2, "t")]
+    rows = spark.createDataFrame([(t,) for t, *_ in cases], "t string").select(T.invisible_count(F.col("t")), T.strip_hidden(F.col("t")), T.normalize(F.col("t"))).collect()
+    for (text, n, clean), row in zip(cases, rows, strict=True):
+        assert (row[0], row[1], row[2]) == (n, clean, clean), repr(text)
+    assert spark.createDataFrame([("t\U000e0048\U000e0069",)], "t string").select(T.smuggled(F.col("t"))).first()[0] == "Hi"
+
+
+def test_list_numbers_and_figures(spark):
+    lines = {"12.5% growth": "12.5% growth", "2) Shipped it": "Shipped it", "3.third": "3.third", "- dash": "dash"}
+    rows = spark.createDataFrame([(k,) for k in lines], "t string").select("t", T.unbullet(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == lines
+    figures = {"Grew revenue 20%": True, "From 2019 to 2021": False, "2019-2021 and 03/2020": False, "EC2 and HTML5": False, "ISO 27001 audits": False, "Python 3.11": False, "Windows 400 laptops": True, "x10 growth": True, "Led a team of 5": True, "Saved $": True, "Served 2,019 people": True}
+    rows = spark.createDataFrame([(k,) for k in figures], "t string").select("t", findings.quantified(F.col("t")).alias("q")).collect()
+    assert {r["t"]: r["q"] for r in rows} == figures
+
+
+def test_requirement_verdicts(spark):
+    """One requirement of each common kind against a document, by hand."""
+    from docsieve.operators import requirements
+    from docsieve.plans.score_queries import ASKED, OFFERED
+
+    got = requirements.judge(spark.createDataFrame(OFFERED, "conv_id long, text string"), spark.createDataFrame(ASKED, "conv_id long, text string"), "conv_id").collect()
+    status = {(r["conv_id"], r["text"]): (r["importance"], r["status"]) for r in got}
+    assert status[-1, "Python and SQL"] == ("required", "partial") and status[-1, "Bachelor degree"] == ("required", "met") and status[-1, "Authorized to work in the country"] == ("required", "met")
+    assert status[-1, "Kubernetes"] == ("preferred", "met") and status[-2, "Excel"] == ("required", "missing") and status[-2, "Java"] == ("required", "met")
+
+
+def test_containment_of_own_posting(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, text), (3, text)], "item_id long, text string")
+    assert [tuple(r)[:2] for r in findings.containment(docs, items, own=True).collect()] == [(1, 1)]
+    assert sorted(tuple(r)[:2] for r in findings.containment(docs, items).collect()) == [(1, 1), (1, 3), (2, 1), (2, 3)]
