@@ -76,10 +76,15 @@ def proper_nouns(text: Column) -> Column:
     return F.array_distinct(F.concat(inner, T.extract_all(text, r"(?<![\p{L}\p{N}])\p{Lu}{2,6}(?![\p{L}\p{N}])"), T.extract_all(text, r"(?<![\p{L}\p{N}])\p{Ll}+\p{Lu}[\p{L}\p{N}]*")))
 
 
+#: "A, B or C" and "A/B", and what stands between the parts.
+CHOICE = r"[\p{L}\p{N}+#.-]+(?:, [\p{L}\p{N}+#.-]+)*,? or [\p{L}\p{N}+#.-]+|[\p{L}\p{N}+#]{2,}(?:/[\p{L}\p{N}+#]{2,})+"
+CHOICE_SPLIT = ",? or |, |/"
+
+
 def alternatives(line: Column, most: int = 8) -> Column:
     """Groups of a line that any member meets, as "A, B or C" or "A/B": arrays of two to eight parts."""
-    run = T.extract_all(unlinked(line), r"[\p{L}\p{N}+#.-]+(?:, [\p{L}\p{N}+#.-]+)*,? or [\p{L}\p{N}+#.-]+|[\p{L}\p{N}+#]{2,}(?:/[\p{L}\p{N}+#]{2,})+")
-    parts = F.transform(run, lambda x: F.filter(F.split(F.lower(x), r",? or |, |/"), lambda w: w != ""))
+    run = T.extract_all(unlinked(line), CHOICE)
+    parts = F.transform(run, lambda x: F.filter(F.split(F.lower(x), CHOICE_SPLIT), lambda w: w != ""))
     return F.filter(parts, lambda p: F.size(p).between(2, most))
 
 
@@ -91,11 +96,19 @@ def alternative_roots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return each.withColumn("r", first).filter("r = 1").select(key, "token", "root")
 
 
+def without_degrees(text: Column) -> Column:
+    """A text without the degrees it names: they are asked for by level, not by word."""
+    return F.regexp_replace(text, V.DEGREE, " ")
+
+
+def lowest_degree(line: Column) -> Column:
+    """The lowest level a line names: "Bachelor or Master" asks for the former."""
+    return F.array_min(F.array_compact(F.array(*[F.when(F.regexp_like(F.lower(line), F.lit(p)), n) for n, p in V.DEGREES])))
+
+
 def degree_terms(rows: DataFrame, highest: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, isced, weight, found: the levels a posting asks for, met by that level or a higher one. rows: key, line, weight; highest: key, highest_isced."""
-    from .extract import degree_level
-
-    asked = rows.withColumn("isced", degree_level(F.col("line"))).filter("isced IS NOT NULL").groupBy(key, "isced").agg(F.max("weight").alias("weight"))
+    asked = rows.withColumn("isced", lowest_degree(F.col("line"))).filter("isced IS NOT NULL").groupBy(key, "isced").agg(F.max("weight").alias("weight"))
     return asked.join(highest, key, "left").select(key, "isced", "weight", F.coalesce(F.col("highest_isced") >= F.col("isced"), F.lit(False)).alias("found"))
 
 

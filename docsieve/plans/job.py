@@ -7,26 +7,39 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import segment as S
+from ..operators.extract import degree_level
+from ..policy import vocabulary as V
 
 
-def asked(postings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, token, weight, kind: the terms a posting asks for, by section."""
-    rows = S.posting_sections(S.lines(postings, key, text), key).filter("heading IS NULL AND section <> 'excluded'")
+def asking_lines(postings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, section, line_no, line: the lines of a posting that ask for something."""
+    return S.posting_sections(S.lines(postings, key, text), key).filter("heading IS NULL AND section <> 'excluded'")
+
+
+def asked(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, token, weight, kind: the terms that asking lines name, by section, degrees left out."""
     by = rows.groupBy(key, "section").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
-    keyed = by.withColumn("part", F.struct(key, "section"))
-    terms = M.terms(keyed.select("part", "text"), "part").select(F.col(f"part.{key}").alias(key), F.col("part.section").alias("section"), "token")
+    keyed = by.select(F.struct(key, "section").alias("part"), M.without_degrees(F.col("text")).alias("text"))
+    terms = M.terms(keyed, "part").select(F.col(f"part.{key}").alias(key), F.col("part.section").alias("section"), "token")
     return M.weighed(terms, key)
 
 
-def grouped(rows: DataFrame, postings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, root, found, weight: asked terms (key, token, weight, found) with the alternatives of a posting's asking lines as one."""
-    lines = S.posting_sections(S.lines(postings, key, text), key).filter("heading IS NULL AND section <> 'excluded'")
-    roots = M.canonical(M.alternative_roots(lines, key)).groupBy(key, "token").agg(F.concat(F.lit("or "), F.min("root")).alias("root"))
-    return M.grouped(rows.join(roots, [key, "token"], "left").withColumn("root", F.coalesce("root", "token")), key)
+def requirements(rows: DataFrame, lines: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, token, weight, found: what a posting asks for. The alternatives of a line are one requirement, named "or" and
+    its first member; degrees are asked for by level ("degree 7"). rows: asked terms (key, token, weight, found); lines:
+    key, line_no, line, weight; docs: key, text."""
+    bare = lines.withColumn("line", M.without_degrees(F.col("line")))
+    roots = M.canonical(M.alternative_roots(bare, key)).groupBy(key, "token").agg(F.concat(F.lit("or "), F.min("root")).alias("root"))
+    terms = M.grouped(rows.join(roots, [key, "token"], "left").withColumn("root", F.coalesce("root", "token")), key)
+    degrees = M.degree_terms(lines, docs.select(key, degree_level(F.col("text")).alias("highest_isced")), key)
+    named = degrees.select(key, F.concat(F.lit("degree "), F.col("isced").cast("string")).alias("token"), "weight", "found")
+    return terms.select(key, F.col("root").alias("token"), "weight", "found").unionByName(named)
 
 
 def match(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """doc_id, score, matched, total. docs: doc_id, text; postings: doc_id, posting."""
     held = M.implied(M.terms(docs.select("doc_id", "text")))
-    texts = postings.select("doc_id", F.col("posting").alias("text"))
-    return M.match_score(grouped(M.matches(asked(texts), held, "doc_id"), texts), "doc_id")
+    lines = asking_lines(postings.select("doc_id", F.col("posting").alias("text")))
+    weight = F.create_map(*[F.lit(x) for pair in V.SECTION_WEIGHTS.items() for x in pair])
+    found = M.matches(asked(lines), held, "doc_id")
+    return M.match_score(requirements(found, lines.withColumn("weight", weight[F.col("section")]), docs.select("doc_id", "text")), "doc_id")

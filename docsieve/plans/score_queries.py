@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import extract, matching, repair, requirements, roles, scoring
+from ..operators import extract, matching, repair, requirements, roles, scoring, segment
 from ..operators import findings as C
 from ..policy import rules as R
 from ..policy import vocabulary as V
-from . import report
+from . import job, report
 from .registry import Q, fixture, query, sql_list
 from .text_queries import BUZZ, HEADING, HOMO, INJ, LINES, N_WORDS, OPENERS, PASSIVE, PRONOUN, STUFFED, VERB_HEAD, figure_sql, hidden_sql
 
@@ -207,13 +207,33 @@ def acronyms(spark, t):
 
 
 WEIGH = f"max(case when token in {tuple(V.SKILLS)} then 1.0 when token in {V.SOFT} then {V.GENERAL_WEIGHT * V.SOFT_WEIGHT} else {V.GENERAL_WEIGHT} end)::double"
-ASKED = f"(select conv_id, token, {WEIGH} as weight from {terms_sql(TEXT_OTHER, 'conv_id')} group by all)"
-MET = f"(select a.conv_id, a.token, a.weight, h.token is not null as found from {ASKED} a left join {HELD} h on h.conv_id = a.conv_id and h.token = a.token)"
+#: Postings and documents with alternatives and degrees, which the turns of the tables lack.
+POSTED = [(-1, "Python or Java\nSQL and a Master's degree"), (-2, "Bachelor or Master of Science, AWS/GCP\nreviews the schema."), (-3, "Excel, Word, or SQL\nPh.D.")]
+APPLIED = [(-1, "Wrote Java services\nM.Sc., 2015"), (-2, "ran GCP\nB.Sc. Mathematics"), (-3, "wrote novels\nDiploma of Nursing")]
+POSTINGS = f"(select conv_id, text from {TEXT_OTHER} union all {fixture(POSTED, 'conv_id, text')})"
+APPLICATIONS = f"(select conv_id, text from {TEXT_USER} union all {fixture(APPLIED, 'conv_id, text')})"
+BARE = f"regexp_replace({{}}, {Q(V.DEGREE)}, ' ', 'g')"
+ASKED = f"(select conv_id, token, {WEIGH} as weight from {terms_sql('(select conv_id, ' + BARE.format('text') + ' as text from ' + POSTINGS + ')', 'conv_id')} group by all)"
+EACH = f"(select a.conv_id, a.token, a.weight, h.token is not null as found from {ASKED} a left join {IMPLIED.format(terms_sql(APPLICATIONS, 'conv_id'))} h on h.conv_id = a.conv_id and h.token = a.token)"
+POSTING_LINES = f"(select conv_id, line_no, trim(l) as line from (select conv_id, unnest(a) as l, generate_subscripts(a, 1) - 1 as line_no from (select conv_id, string_split_regex(text, '\\n+') as a from {POSTINGS})) where trim(l) <> '')"
+PLAIN = f"regexp_replace(regexp_replace({BARE.format('line')}, {Q(T.LINK)}, ' ', 'g'), {Q(T.EMAIL)}, ' ', 'g')"
+CHOICES = f"(select conv_id, line_no, unnest(r) as run, generate_subscripts(r, 1) as g from (select conv_id, line_no, regexp_extract_all({PLAIN}, {Q(matching.CHOICE)}) as r from {POSTING_LINES}))"
+PARTS = f"(select conv_id, line_no, g, list_filter(string_split_regex(lower(run), {Q(matching.CHOICE_SPLIT)}), lambda x: x <> '') as parts from {CHOICES})"
+FIRST_ROOT = f"(select *, row_number() over (partition by conv_id, token order by line_no, g) as r from (select conv_id, line_no, g, list_min(parts) as root, unnest(parts) as token from {PARTS} where len(parts) between 2 and 8))"
+ROOTS = f"(select conv_id, coalesce(case token {' '.join(f'when {Q(k)} then {Q(v)}' for k, v in V.SYNONYMS.items())} end, {stem_sql('token')}) as token, 'or ' || min(root) as root from {FIRST_ROOT} where r = 1 and token not in {tuple(V.STOPWORDS)} group by all)"
+LOWEST = "least(" + ", ".join(f"case when regexp_matches(lower(line), {Q(p)}) then {n} end" for n, p in V.DEGREES) + ")"
+HIGHEST = "greatest(" + ", ".join(f"case when regexp_matches(lower(text), {Q(p)}) then {n} end" for n, p in V.DEGREES) + ")"
+DEGREES_MET = f"(select a.conv_id, 'degree ' || a.isced as token, 1.0::double as weight, coalesce(h.isced >= a.isced, false) as found from (select distinct conv_id, {LOWEST} as isced from {POSTING_LINES}) a left join (select conv_id, {HIGHEST} as isced from {APPLICATIONS}) h using (conv_id) where a.isced is not null)"
+MET = f"(select e.conv_id, coalesce(r.root, e.token) as token, max(e.weight) as weight, bool_or(e.found) as found from {EACH} e left join {ROOTS} r on r.conv_id = e.conv_id and r.token = e.token group by e.conv_id, coalesce(r.root, e.token) union all select * from {DEGREES_MET})"
 
 
 def met(spark, t):
-    asked = matching.weighed(matching.terms(side(t, "assistant"), "conv_id").withColumn("section", F.lit("body")), "conv_id")
-    return matching.matches(asked.select("conv_id", "token", "weight"), matching.implied(matching.terms(side(t, "user"), "conv_id"), "conv_id"))
+    more = lambda turns, rows: side(t, turns).select("conv_id", "text").unionByName(spark.createDataFrame(rows, "conv_id long, text string"))
+    postings, docs = more("assistant", POSTED), more("user", APPLIED)
+    bare = postings.withColumn("text", matching.without_degrees(F.col("text")))
+    asked = matching.weighed(matching.terms(bare, "conv_id").withColumn("section", F.lit("body")), "conv_id").select("conv_id", "token", "weight")
+    found = matching.matches(asked, matching.implied(matching.terms(docs, "conv_id"), "conv_id"), "conv_id")
+    return job.requirements(found, segment.lines(postings, "conv_id").withColumn("weight", F.lit(1.0)), docs, "conv_id")
 
 
 @query("job_match_score", f"select conv_id, floor(round(sum(case when found then weight else 0 end) / sum(weight) * 100, 9) + 0.5)::bigint as score, sum(found::int)::bigint as matched, count(*) as total from {MET} group by conv_id")

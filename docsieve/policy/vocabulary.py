@@ -43,7 +43,11 @@ POSTING = (
 SECTION_WEIGHTS = {"required": 2.0, "preferred": 0.5, "responsibilities": 0.5, "body": 1.0}
 GENERAL_WEIGHT, SOFT_WEIGHT = 0.25, 0.4
 # Levels of the international classification of education, highest first.
-DEGREES = ((8, "ph\\.?d|doctorate|doctoral"), (7, "master|m\\.?sc|mba|m\\.?a\\."), (6, "bachelor|b\\.?sc|b\\.?a\\."), (5, "associate degree|foundation degree"), (4, "diploma"), (3, "high school|a-levels|abitur"), (2, "secondary school"))
+DEGREE_NAMES = ((8, "ph\\.?d|doctorate|doctoral"), (7, "master|m\\.?sc|mba|m\\.?a\\."), (6, "bachelor|b\\.?sc|b\\.?a\\."), (5, "associate degree|foundation degree"), (4, "diploma"), (3, "high school|a-levels|abitur"), (2, "secondary school"))
+#: No letter stands before a degree: "schema." names none.
+DEGREES = tuple((level, f"(?:^|[^a-z])(?:{names})") for level, names in DEGREE_NAMES)
+#: A degree as an asking line writes it, with what belongs to it.
+DEGREE = rf"(?i)(?:^|[^a-z])(?:{'|'.join(names for _, names in DEGREE_NAMES)})(?:['’]?s\b)?(?: degree\b)?"
 # The common reference levels of language, lowest first.
 CEFR = ("A1", "A2", "B1", "B2", "C1", "C2")
 LEVEL_WORDS = {"native": "C2", "fluent": "C1", "advanced": "C1", "intermediate": "B1", "conversational": "B1", "basic": "A2", "beginner": "A1"}

@@ -41,3 +41,14 @@ def test_alternatives_are_one_requirement(spark):
     postings = docs.select("doc_id", report.F.lit("Requirements\nPython or Java").alias("posting"))
     got = {r["doc_id"]: (r["score"], r["matched"], r["total"]) for r in job.match(docs, postings).collect()}
     assert got == {1: (100, 1, 1), 2: (100, 1, 1), 3: (0, 0, 1)}
+
+
+def test_degrees_are_asked_for_by_level(spark):
+    """A higher level meets a lower one; of levels named together the lowest counts; a degree weighs as much as a skill; words that only hold a degree's letters ask for none."""
+    from docsieve.plans import job
+
+    docs = spark.createDataFrame([(1, "Python\nPhD, 2015"), (2, "Python\nB.Sc. Mathematics"), (3, "Python")], "doc_id long, text string")
+    ask = lambda text: {r["doc_id"]: (r["score"], r["matched"], r["total"]) for r in job.match(docs, docs.select("doc_id", report.F.lit(text).alias("posting"))).collect()}
+    assert ask("Requirements\nPython\nMaster's degree") == {1: (100, 2, 2), 2: (50, 1, 2), 3: (50, 1, 2)}
+    assert ask("Requirements\nPython\nBachelor's or Master's degree") == {1: (100, 2, 2), 2: (100, 2, 2), 3: (50, 1, 2)}
+    assert ask("Requirements\nPython schema.") == {k: (80, 1, 2) for k in (1, 2, 3)}
