@@ -24,13 +24,18 @@ def asked(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return M.weighed(terms, key)
 
 
+def rooted(rows: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Asked terms with their root: "or" and the first member for the alternatives of a line, else the term itself."""
+    bare = lines.withColumn("line", M.without_degrees(F.col("line")))
+    roots = M.canonical(M.alternative_roots(bare, key)).groupBy(key, "token").agg(F.concat(F.lit("or "), F.min("root")).alias("root"))
+    return rows.join(roots, [key, "token"], "left").withColumn("root", F.coalesce("root", "token"))
+
+
 def requirements(rows: DataFrame, lines: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, token, weight, found: what a posting asks for. The alternatives of a line are one requirement, named "or" and
     its first member; degrees are asked for by level ("degree 7"). rows: asked terms (key, token, weight, found); lines:
     key, line_no, line, weight; docs: key, text."""
-    bare = lines.withColumn("line", M.without_degrees(F.col("line")))
-    roots = M.canonical(M.alternative_roots(bare, key)).groupBy(key, "token").agg(F.concat(F.lit("or "), F.min("root")).alias("root"))
-    terms = M.grouped(rows.join(roots, [key, "token"], "left").withColumn("root", F.coalesce("root", "token")), key)
+    terms = M.grouped(rooted(rows, lines, key), key)
     degrees = M.degree_terms(lines, docs.select(key, degree_level(F.col("text")).alias("highest_isced")), key)
     named = degrees.select(key, F.concat(F.lit("degree "), F.col("isced").cast("string")).alias("token"), "weight", "found")
     return terms.select(key, F.col("root").alias("token"), "weight", "found").unionByName(named)

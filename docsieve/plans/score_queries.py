@@ -227,13 +227,18 @@ DEGREES_MET = f"(select a.conv_id, 'degree ' || a.isced as token, 1.0::double as
 MET = f"(select e.conv_id, coalesce(r.root, e.token) as token, max(e.weight) as weight, bool_or(e.found) as found from {EACH} e left join {ROOTS} r on r.conv_id = e.conv_id and r.token = e.token group by e.conv_id, coalesce(r.root, e.token) union all select * from {DEGREES_MET})"
 
 
-def met(spark, t):
+def asked(spark, t):
+    """Asked terms and whether they are found, the postings and the documents, by conversation."""
     more = lambda turns, rows: side(t, turns).select("conv_id", "text").unionByName(spark.createDataFrame(rows, "conv_id long, text string"))
     postings, docs = more("assistant", POSTED), more("user", APPLIED)
     bare = postings.withColumn("text", matching.without_degrees(F.col("text")))
-    asked = matching.weighed(matching.terms(bare, "conv_id").withColumn("section", F.lit("body")), "conv_id").select("conv_id", "token", "weight")
-    found = matching.matches(asked, matching.implied(matching.terms(docs, "conv_id"), "conv_id"), "conv_id")
-    return job.requirements(found, segment.lines(postings, "conv_id").withColumn("weight", F.lit(1.0)), docs, "conv_id")
+    wanted = matching.weighed(matching.terms(bare, "conv_id").withColumn("section", F.lit("body")), "conv_id").select("conv_id", "token", "weight")
+    found = matching.matches(wanted, matching.implied(matching.terms(docs, "conv_id"), "conv_id"), "conv_id")
+    return found, segment.lines(postings, "conv_id").withColumn("weight", F.lit(1.0)), docs
+
+
+def met(spark, t):
+    return job.requirements(*asked(spark, t), "conv_id")
 
 
 @query("job_match_score", f"select conv_id, floor(round(sum(case when found then weight else 0 end) / sum(weight) * 100, 9) + 0.5)::bigint as score, sum(found::int)::bigint as matched, count(*) as total from {MET} group by conv_id")
@@ -246,30 +251,37 @@ def missing_top12(spark, t):
     return matching.missing(met(spark, t))
 
 
-GROUPS = [(1, "a", "python", 1.0, False), (1, "a", "java", 0.5, True), (1, "b", "sql", 2.0, False), (2, "a", "go", 1.0, True)]
+GROUPS = [(-11, "a", "python", 1.0, False), (-11, "a", "java", 0.5, True), (-11, "b", "sql", 2.0, False), (-12, "a", "go", 1.0, True)]
 
 
-@query("alternative_groups", f"select conv_id, root, bool_or(found) as found, max(weight)::double as weight from {fixture(GROUPS, 'conv_id, root, token, weight, found', True)} group by all")
+@query("alternative_groups", f"select conv_id, root, bool_or(found) as found, max(weight)::double as weight from (select e.conv_id, coalesce(r.root, e.token) as root, e.token, e.weight, e.found from {EACH} e left join {ROOTS} r on r.conv_id = e.conv_id and r.token = e.token union all {fixture(GROUPS, 'conv_id, root, token, weight, found')}) group by conv_id, root")
 def alternative_groups(spark, t):
-    return matching.grouped(spark.createDataFrame(GROUPS, "conv_id long, root string, token string, weight double, found boolean"))
+    found, lines, _ = asked(spark, t)
+    rows = job.rooted(found, lines, "conv_id").select("conv_id", "root", "token", "weight", "found")
+    return matching.grouped(rows.unionByName(spark.createDataFrame(GROUPS, "conv_id long, root string, token string, weight double, found boolean")))
 
 
-LISTED = [(1, "python"), (1, "sql"), (1, "excel"), (2, "go"), (2, "java"), (3, "a"), (3, "b"), (3, "c"), (3, "d")]
-ELSEWHERE = [(1, "python"), (3, "a"), (3, "b"), (3, "d")]
+LISTED = [(-1, "python"), (-1, "sql"), (-1, "excel"), (-2, "go"), (-2, "java"), (-3, "a"), (-3, "b"), (-3, "c"), (-3, "d")]
+ELSEWHERE = [(-1, "python"), (-3, "a"), (-3, "b"), (-3, "d")]
 
 
-@query("unsupported_skills", f"with l as {fixture(LISTED, 'doc_id, skill', True)}, e as {fixture(ELSEWHERE, 'doc_id, skill', True)} select doc_id, round(sum((e.skill is null)::int)::double / count(*), 6) as ratio from l left join e using (doc_id, skill) group by doc_id having count(*) >= 3")
+@query("unsupported_skills", f"with l as (select distinct conv_id as doc_id, token as skill from {terms_sql(TEXT_OTHER, 'conv_id')} union all {fixture(LISTED, 'doc_id, skill')}), e as (select distinct conv_id as doc_id, token as skill from {terms_sql(TEXT_USER, 'conv_id')} union all {fixture(ELSEWHERE, 'doc_id, skill')}) select doc_id, round(sum((e.skill is null)::int)::double / count(*), 6) as ratio from l left join e using (doc_id, skill) group by doc_id having count(*) >= 3")
 def unsupported_skills(spark, t):
-    make = lambda rows: spark.createDataFrame(rows, "doc_id long, skill string")
-    return C.unsupported_skills(make(LISTED), make(ELSEWHERE))
+    def named(role, rows):
+        found = matching.terms(side(t, role), "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("token").alias("skill")).distinct()
+        return found.unionByName(spark.createDataFrame(rows, "doc_id long, skill string"))
+
+    return C.unsupported_skills(named("assistant", LISTED), named("user", ELSEWHERE))
 
 
 LATTICE = [(1, "met"), (1, "partial"), (2, "missing"), (2, "met"), (3, "met"), (3, "met")]
 
 
-@query("status_lattice", f"select id, case min(r) when 0 then 'missing' when 1 then 'partial' else 'met' end as weaker, case max(r) when 0 then 'missing' when 1 then 'partial' else 'met' end as stronger from (select id, case s when 'missing' then 0 when 'partial' then 1 else 2 end as r from {fixture(LATTICE, 'id, s', True)}) group by id")
+@query("status_lattice", f"select id, case min(r) when 0 then 'missing' when 1 then 'partial' else 'met' end as weaker, case max(r) when 0 then 'missing' when 1 then 'partial' else 'met' end as stronger from (select id, case s when 'missing' then 0 when 'partial' then 1 else 2 end as r from (select o_custkey as id, case o_orderstatus when 'F' then 'met' when 'P' then 'partial' else 'missing' end as s from orders union all {fixture(LATTICE, 'id, s')})) group by id")
 def status_lattice(spark, t):
-    return requirements.lattice(spark.createDataFrame(LATTICE, "id long, status string"), "id")
+    status = F.when(F.col("o_orderstatus") == "F", "met").when(F.col("o_orderstatus") == "P", "partial").otherwise("missing")
+    rows = t.orders.select(F.col("o_custkey").alias("id"), status.alias("status"))
+    return requirements.lattice(rows.unionByName(spark.createDataFrame(LATTICE, "id long, status string")), "id")
 
 
 # ---------------------------------------------------------------- dates and spans
@@ -277,9 +289,10 @@ def status_lattice(spark, t):
 PARTIAL = [(1, 2020, None), (2, 2020, 3), (3, 1999, 12)]
 
 
-@query("month_index", f"select id, year * 12 + coalesce(month, 1) - 1 as started, year * 12 + coalesce(month, 12) - 1 as ended from {fixture(PARTIAL, 'id, year, month', True)}")
+@query("month_index", f"select id, year * 12 + coalesce(month, 1) - 1 as started, year * 12 + coalesce(month, 12) - 1 as ended from (select o_orderkey as id, year(o_orderdate)::int as year, case when o_orderkey % 3 > 0 then month(o_orderdate)::int end as month from orders union all {fixture(PARTIAL, 'id, year, month')})")
 def month_index(spark, t):
-    rows = spark.createDataFrame(PARTIAL, "id long, year int, month int")
+    dated = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderkey") % 3 > 0, F.month("o_orderdate")).alias("month"))
+    rows = dated.unionByName(spark.createDataFrame(PARTIAL, "id long, year int, month int"))
     return rows.select("id", D.month_index(F.col("year"), F.col("month"), 1).alias("started"), D.month_index(F.col("year"), F.col("month"), 12).alias("ended"))
 
 
@@ -303,25 +316,28 @@ def overlap_months(spark, t):
 TITLES = [(1, "Software Engineer"), (2, "Parental leave"), (3, " Sabbatical "), (4, "Leave Administrator")]
 
 
-@query("drop_leave", f"select * from {fixture(TITLES, 'id, title', True)} where lower(trim(title)) not in {V.LEAVE}")
+@query("drop_leave", f"select * from (select p_partkey as id, p_name as title from part union all {fixture(TITLES, 'id, title')}) where lower(trim(title)) not in {V.LEAVE}")
 def drop_leave(spark, t):
-    return extract.drop_leave(spark.createDataFrame(TITLES, "id long, title string"))
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return extract.drop_leave(rows.unionByName(spark.createDataFrame(TITLES, "id long, title string")))
 
 
 TENURES = [(81,), (36,), (7,), (-1,), (0,), (12,), (13,)]
 
 
-@query("format_tenure", f"select months, case when m // 12 = 0 then m || ' mo' when m % 12 = 0 then (m // 12) || ' yr' else (m // 12) || ' yr ' || (m % 12) || ' mo' end as shown from (select months, greatest(months, 0) as m from {fixture(TENURES, 'months', True)})")
+@query("format_tenure", f"select months, case when m // 12 = 0 then m || ' mo' when m % 12 = 0 then (m // 12) || ' yr' else (m // 12) || ' yr ' || (m % 12) || ' mo' end as shown from (select months, greatest(months, 0) as m from (select p_size::bigint as months from part union all {fixture(TENURES, 'months')}))")
 def format_tenure(spark, t):
-    return spark.createDataFrame(TENURES, "months long").select("months", D.format_tenure(F.col("months")).alias("shown"))
+    rows = t.part.select(F.col("p_size").cast("long").alias("months")).unionByName(spark.createDataFrame(TENURES, "months long"))
+    return rows.select("months", D.format_tenure(F.col("months")).alias("shown"))
 
 
 WRITTEN = [(1, "Jan 2020 – Mar 2023"), (2, "01/2020 - 03/2023"), (3, "2020-01 to 2023-03"), (4, "2020 - 2023"), (5, "no date"), (6, "March. 2021")]
 
 
-@query("date_formats", f"select id, {FAMILY} as family from {fixture(WRITTEN, 'id, line', True)}")
+@query("date_formats", f"select id, {FAMILY} as family from (select doc_id as id, line from {LINES} union all {fixture(WRITTEN, 'id, line')})")
 def date_formats(spark, t):
-    return spark.createDataFrame(WRITTEN, "id long, line string").select("id", D.date_family(F.col("line")).alias("family"))
+    rows = segment.lines(t.documents).select(F.col("doc_id").alias("id"), "line").unionByName(spark.createDataFrame(WRITTEN, "id long, line string"))
+    return rows.select("id", D.date_family(F.col("line")).alias("family"))
 
 
 @query("asof_role", "select event_id, user_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before, first_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) as after from events")
@@ -346,9 +362,10 @@ GROUNDED = [(1, "Acme GmbH", "worked at Acme GmbH in Berlin"), (2, "Acme", "work
 PAD = "' ' || array_to_string(regexp_extract_all(lower({0}), " + Q(T.TOKEN) + "), ' ') || ' '"
 
 
-@query("grounded_values", f"select id, v <> '' and contains({PAD.replace('{0}', 's')}, {PAD.replace('{0}', 'v')}) as grounded from {fixture(GROUNDED, 'id, v, s', True)}")
+@query("grounded_values", f"select id, v <> '' and contains({PAD.replace('{0}', 's')}, {PAD.replace('{0}', 'v')}) as grounded from (select doc_id as id, source as v, text as s from documents where text is not null and source is not null union all {fixture(GROUNDED, 'id, v, s')})")
 def grounded_values(spark, t):
-    return spark.createDataFrame(GROUNDED, "id long, v string, s string").select("id", repair.grounded(F.col("v"), F.col("s")).alias("grounded"))
+    rows = t.documents.filter("text IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("source").alias("v"), F.col("text").alias("s"))
+    return rows.unionByName(spark.createDataFrame(GROUNDED, "id long, v string, s string")).select("id", repair.grounded(F.col("v"), F.col("s")).alias("grounded"))
 
 
 @query("fabricated_numbers", """with n as (select conv_id, role, unnest(regexp_extract_all(text, '[0-9]+')) as n from conversations),

@@ -121,14 +121,15 @@ def strip_controls(spark, t):
 DIGIT_ROWS = [(1, "٣٤٥"), (2, "२०२४"), (3, "2024"), (4, "１２"), (5, "৭ ௮")]
 
 
-@query("digit_fold", f"select id, translate(text, {Q(''.join(T.DIGITS))}, {Q(''.join(T.DIGITS.values()))}) as text from {fixture(DIGIT_ROWS, 'id, text', True)}")
+@query("digit_fold", f"select id, translate(text, {Q(''.join(T.DIGITS))}, {Q(''.join(T.DIGITS.values()))}) as text from (select doc_id as id, text from documents union all {fixture(DIGIT_ROWS, 'id, text')})")
 def digit_fold(spark, t):
-    return spark.createDataFrame(DIGIT_ROWS, "id long, text string").select("id", T.fold_digits(F.col("text")).alias("text"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(DIGIT_ROWS, "id long, text string"))
+    return rows.select("id", T.fold_digits(F.col("text")).alias("text"))
 
 
-@query("truncate_flag", "select doc_id, length(substr(text, 1, 5000))::bigint as kept, length(text) > 5000 as truncated from documents")
+@query("truncate_flag", "select doc_id, length(substr(text, 1, 50000))::bigint as kept, length(text) > 50000 as truncated from documents")
 def truncate_flag(spark, t):
-    return t.documents.select("doc_id", F.length(T.cut(F.col("text"), 5000)).cast("long").alias("kept"), (F.length("text") > 5000).alias("truncated"))
+    return t.documents.select("doc_id", F.length(T.cut(F.col("text"), 50000)).cast("long").alias("kept"), (F.length("text") > 50000).alias("truncated"))
 
 
 CELLS = [(1, "a \t b   c\n\n\n\nd"), (2, "x\t\ty"), (3, "one  two")]
@@ -281,11 +282,12 @@ DEGREE_ROWS = [(1, "PhD in Physics"), (2, "Master of Science, 2015"), (3, "B.Sc.
 DEGREE = "case " + " ".join(f"when regexp_matches(lower(line), {Q(p)}) then {n}" for n, p in V.DEGREES) + " end"
 
 
-@query("degree_level", f"select id, ({DEGREE})::bigint as level from {fixture(DEGREE_ROWS, 'id, line', True)}")
+@query("degree_level", f"select id, ({DEGREE})::bigint as level from (select doc_id as id, line from {LINES} union all {fixture(DEGREE_ROWS, 'id, line')})")
 def degree_level(spark, t):
     from ..operators.extract import degree_level as level
 
-    return spark.createDataFrame(DEGREE_ROWS, "id long, line string").select("id", level(F.col("line")).cast("long").alias("level"))
+    rows = S.lines(t.documents).select(F.col("doc_id").alias("id"), "line").unionByName(spark.createDataFrame(DEGREE_ROWS, "id long, line string"))
+    return rows.select("id", level(F.col("line")).cast("long").alias("level"))
 
 
 YEARS_ROWS = [(1, "5+ years of Python"), (2, "at least three years in sales"), (3, "3-5 years experience"), (4, "2019 to 2021"), (5, "10 yrs")]
