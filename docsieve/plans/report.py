@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import durable
 from ..functions import dates as D
 from ..operators import extract, findings, locale, roles, scoring
 from ..operators import segment as S
@@ -47,10 +48,11 @@ def skill_evidence(docs: DataFrame, records: DataFrame, least: int = 3) -> DataF
 def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 2026, layout: DataFrame | None = None) -> DataFrame:
     """The whole report, a row a document: readiness, verdict, category scores, fixes, strengths, the parsed record and, with postings (doc_id, posting), the match.
 
-    The reference date is an argument: the same documents, policy and date give the same report."""
+    The reference date is an argument: the same documents, policy and date give the same report. Records, languages and rule
+    results are held as tables, since several parts read each."""
     from . import job
 
-    records = extract.records(docs, now_year)
+    records = durable.held(extract.records(docs, now_year), "records")
     quality = extract.quality(records)
     parsed = quality.select("doc_id", F.col("roles_detected").cast("double").alias("rolesDetected"), F.col("role_completeness").alias("roleCompleteness"))
     extra = parsed.unpivot("doc_id", ["rolesDetected", "roleCompleteness"], "metric", "value").filter("value IS NOT NULL")
@@ -61,8 +63,8 @@ def check(docs: DataFrame, postings: DataFrame | None = None, now_year: int = 20
     if postings is not None:
         held = findings.containment(docs, postings.select(F.col("doc_id").alias("item_id"), F.col("posting").alias("text")), own=True)
         extra = extra.unionByName(held.select("doc_id", F.lit("copiedPostingRatio").alias("metric"), F.col("ratio").alias("value")))
-    spoken = locale.detect(docs, sample=None).select("doc_id", F.col("detected").alias("lang"))
-    results = scored(docs, extra, languages=spoken)
+    spoken = durable.held(locale.detect(docs, sample=None).select("doc_id", F.col("detected").alias("lang")), "languages")
+    results = durable.held(scored(docs, extra, languages=spoken), "results")
     scores = scoring.readiness(results)
     by = F.struct("category", "score", "passed", "total", "lost", "possible")
     grouped = scoring.categories(results).groupBy("doc_id").agg(F.array_sort(F.collect_list(by)).alias("categories"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import durable
 from ..plans import report
 
 
@@ -13,8 +14,9 @@ def scored_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     """Each micro-batch goes through the batch plan and is written with its number, so a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        out = report.check(batch.select("doc_id", "text")).select("doc_id", "readiness", "verdict")
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with durable.released(batch.sparkSession):
+            out = report.check(batch.select("doc_id", "text")).select("doc_id", "readiness", "verdict")
+            out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
