@@ -4,7 +4,8 @@ The benchmark's windows (13 consecutive words, or a whole shorter item) are the
 whole corpus give each window its rarest terms. The index stores the corpus' postings (document, position) of those
 terms. Subtracting a term's offset in the window from its positions gives starts; a start that the lists of all the
 window's chosen terms share is a candidate, and its words are compared with the window's in the document itself. A
-window with a term that the corpus lacks is dropped unread.
+window with a term that the corpus lacks is dropped unread. With a slop, starts that lie within it of each other are
+proximity matches, read off the same postings; an exact phrase is one too. Equally rare terms are taken in their order.
 
 Terms and windows are broadcast only up to ``most`` rows and joined by a shuffle beyond. Null texts have no words;
 items without an id are not read. Repeated rows get a row each; equal (doc_id, text) share their hits. Other columns
@@ -20,6 +21,7 @@ from .common import settled, stored
 from .words import LOWER, UPPER, ascii_lower, words
 
 WINDOW, RAREST, MOST = 13, 2, 200_000
+SLOP = 4  # how far a term of a proximity match may stand from its place
 SHARE = 20  # contaminated: at least one word in so many is hit
 
 
@@ -83,51 +85,65 @@ def covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), begin, add, lambda acc: acc["total"])
 
 
-def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW, rarest: int = RAREST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, n_words, hits: array of (start, n, wid)) for each document, and the items' windows."""
+def nearby(postings: DataFrame, chosen: DataFrame, slop: int, most: int) -> DataFrame:
+    """doc_id, mark, wid, start: where all of a window's chosen terms stand, each within ``slop`` words of its place."""
+    met = starts(postings, chosen, most)
+    # starts at most slop apart share one of two neighbouring cells; a cell has at most 2 * (slop + 1) distinct starts of each term
+    cell = F.floor(F.col("start") / (slop + 1))
+    near = met.withColumn("cell", F.explode(F.array(cell, cell + 1))).groupBy("doc_id", "mark", "wid", "cell").agg(F.sort_array(F.collect_set(F.struct("start", "at"))).alias("by"), F.first("need").alias("need"))
+    near = near.filter(F.size("by") >= F.col("need"))
+
+    # a match begins at a start from which all terms lie within slop
+    def whole(x):
+        inside = F.filter("by", lambda y: y["start"].between(x["start"], x["start"] + slop))
+        return F.size(F.array_distinct(F.transform(inside, lambda y: y["at"]))) == F.col("need")
+
+    return near.select("doc_id", "mark", "wid", F.explode(F.transform(F.filter("by", whole), lambda x: x["start"])).alias("start"))
+
+
+def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW, rarest: int = RAREST, most: int = MOST, slop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, mark, n_words, hits: array of (start, n, wid)) for each document, the items' windows, and with a slop (doc_id, mark, wid) of proximity matches."""
     rows, wins = keyed(docs), settled(windows(items, length))
     chosen = anchors(rows, wins, rarest, most)
-    met = candidates(index(rows, chosen, most), chosen, most)
+    postings = index(rows, chosen, most)
+    met = candidates(postings, chosen, most)
+    near = None if slop is None else nearby(postings, chosen, slop, most).select("doc_id", "mark", "wid").distinct()
     phrases = wins.select("wid", "ws").dropDuplicates(["wid"])
     # a document's candidates are fewer than its words times the windows of one first term
     found = met.join(phrases, "wid").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "wid", "ws")).alias("met")).withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
     joined = rows.join(found, (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").select("doc_id", "mark", words(F.col("t")).alias("ws"), "met")
     exact = F.filter("met", lambda c: F.slice("ws", c["start"] + 1, F.size(c["ws"])) == c["ws"])
     true = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["ws"]).alias("n"), c["wid"].alias("wid")))
-    return joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<start:int,n:int,wid:bigint>>")).alias("hits")), wins
+    return joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<start:int,n:int,wid:bigint>>")).alias("hits")), wins, near
 
 
 def report(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) -> DataFrame:
-    """doc_id, mark (a hash of the lower-cased text), n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each document."""
-    found, wins = hits(docs, items, **options)
+    """doc_id, mark (a hash of the lower-cased text), n_words, n_hit, n_items, items (sorted strings), contaminated: a row for each document.
+
+    With a slop also n_near: the items that have a window of which a proximity match stands in the document."""
+    found, wins, near = hits(docs, items, **options)
     rows = settled(found.select("doc_id", "mark", "n_words", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")))
     owners = wins.select("wid", "item_id").distinct()
-    named = rows.filter(F.size("wids") > 0).select("doc_id", "mark", F.explode("wids").alias("wid")).join(owners, "wid").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    item = F.col("item_id").cast("string")
+    met = rows.filter(F.size("wids") > 0).select("doc_id", "mark", F.explode("wids").alias("wid"), F.lit(True).alias("exact"))
+    met = met if near is None else met.unionByName(near.withColumn("exact", F.lit(False)))
+    of_doc = [F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.count_distinct(F.when(~F.col("exact"), item)).alias("n_near")]
+    named = met.join(owners, "wid").groupBy("doc_id", "mark").agg(*of_doc[: 1 if near is None else 2])
     named = named.withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
     out = rows.join(named, (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "mark", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "mark", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *([] if near is None else [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]))
 
 
-def proximity(docs: DataFrame, items: DataFrame, slop: int = 4, length: int = WINDOW, rarest: int = 3, most: int = MOST) -> DataFrame:
-    """doc_id, item_id, start: where all of a window's rarest terms stand, each within ``slop`` words of its place. No query: a function of its own."""
+def proximity(docs: DataFrame, items: DataFrame, slop: int = SLOP, length: int = WINDOW, rarest: int = 3, most: int = MOST) -> DataFrame:
+    """doc_id, item_id, start: the places of proximity matches of the items' windows."""
     rows, wins = keyed(docs), settled(windows(items, length))
     chosen = anchors(rows, wins, rarest, most)
-    met = starts(index(rows, chosen, most), chosen, most)
-    # starts at most slop apart share one of two neighbouring cells; a cell has at most 2 * (slop + 1) distinct starts of each term
-    cell = F.floor(F.col("start") / (slop + 1))
-    near = met.withColumn("cell", F.explode(F.array(cell, cell + 1))).groupBy("doc_id", "mark", "wid", "cell").agg(F.sort_array(F.collect_set(F.struct("start", "at"))).alias("by"), F.first("need").alias("need"))
-    near = near.filter(F.size("by") >= F.col("need"))
-    # a match begins at a start from which all terms lie within slop
-    def whole(x):
-        inside = F.filter("by", lambda y: y["start"].between(x["start"], x["start"] + slop))
-        return F.size(F.array_distinct(F.transform(inside, lambda y: y["at"]))) == F.col("need")
-
-    found = near.select("doc_id", "wid", F.explode(F.transform(F.filter("by", whole), lambda x: x["start"])).alias("start"))
+    found = nearby(index(rows, chosen, most), chosen, slop, most)
     return found.join(wins.select("wid", "item_id").distinct(), "wid").select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start")).distinct()
 
 
-def oracle(length: int = WINDOW, share: int = SHARE) -> str:
-    """The contract's rows in DuckDB: every window of every document joined with the items' windows."""
+def oracle(length: int = WINDOW, share: int = SHARE, rarest: int = RAREST, slop: int = SLOP) -> str:
+    """The contract's rows in DuckDB: every window of every document joined with the items' windows; proximity by pairs of places."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {word})"
     return f"""
@@ -138,7 +154,15 @@ sizes as (select distinct n from bw),
 dw as (select rid, i, n, array_to_string(ws[i : i + n - 1], ' ') as k from d, sizes, unnest(range(1, len(ws) - n + 2)) u(i)),
 occ as (select distinct rid, i, n, k from dw where k in (select k from bw)),
 hit as (select rid, count(distinct p) as n_hit from occ, unnest(range(i, i + n)) v(p) group by rid),
-it as (select rid, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct rid, cast(item_id as varchar) as x from occ join bw using (n, k)) group by rid)
+it as (select rid, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct rid, cast(item_id as varchar) as x from occ join bw using (n, k)) group by rid),
+tk as (select rid, unnest(ws) as term, generate_subscripts(ws, 1) - 1 as pos from d),
+pt as (select k, term, min(place) as place from (select k, unnest(string_split(k, ' ')) as term, generate_subscripts(string_split(k, ' '), 1) - 1 as place from (select distinct k from bw)) group by k, term),
+ct as (select term, count(*) as c from tk where term in (select term from pt) group by term),
+rk as (select k, term, place, row_number() over (partition by k order by coalesce(c, 0), term) as r, min(coalesce(c, 0)) over (partition by k) as least_c from pt left join ct using (term)),
+ch as (select k, term, place, count(*) over (partition by k) as need from rk where r <= {rarest} and least_c > 0),
+st as (select distinct rid, k, place, pos - place as s, need from tk join ch using (term)),
+nr as (select distinct rid, k from (select a.rid, a.k, a.s, a.need from st a join st b on a.rid = b.rid and a.k = b.k and b.s between a.s and a.s + {slop} group by all having count(distinct b.place) = a.need)),
+ne as (select rid, count(distinct cast(item_id as varchar)) as n_near from nr join bw using (k) group by rid)
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and {share} * coalesce(n_hit, 0) >= len(ws) as contaminated
-from d left join hit using (rid) left join it using (rid)"""
+  coalesce(n_hit, 0) > 0 and {share} * coalesce(n_hit, 0) >= len(ws) as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join hit using (rid) left join it using (rid) left join ne using (rid)"""

@@ -63,6 +63,19 @@ def test_proximity_is_exact(spark):
     assert {(r["doc_id"], r["start"]) for r in got} == want and {d for d, _ in want} >= {0, 1}
 
 
+def test_near_items(spark, edge, none):
+    """The report counts items by the same matches; exact phrases are among them."""
+    items = spark.createDataFrame([(7, "alpha beta gamma delta"), (7, "alpha beta gamma delta"), (8, "alpha beta"), (9, "absent words"), (None, "alpha"), (10, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "delta gamma " + "q " * 50 + "alpha beta"), (4, None), (1, "alpha beta gamma delta"), (None, "alpha " + "q " * 9 + "beta")], "doc_id long, text string")
+    for most in (200_000, 0):
+        near = decontaminate.proximity(docs, items, rarest=2)
+        want = {(r["doc_id"], r["n"]) for r in near.groupBy("doc_id").agg({"item_id": "count"}).selectExpr("doc_id", "1 AS n").collect()}
+        got = decontaminate.report(docs, items, slop=4, most=most).collect()
+        assert len(got) == 6 and {r["doc_id"] for r in got if r["n_near"]} == {d for d, _ in want} and all(r["n_near"] >= r["n_items"] for r in got)
+    assert sorted((r["n_items"], r["n_near"]) for r in got if r["doc_id"] == 1) == [(2, 2), (2, 2)]
+    assert decontaminate.report(none, items, slop=4).count() == 0 and decontaminate.report(edge, items, slop=4).count() == edge.count()
+
+
 def test_native(spark, edge):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert not re.search("Python|Pandas|Arrow", decontaminate.report(edge, items)._jdf.queryExecution().toString())
