@@ -50,12 +50,10 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
     with temporary(spark):
-        found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-        gone = settled(found.filter("contaminated").select("doc_id", "mark").distinct())
-        del found
+        gone = settled(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("own"))
     here = (F.col("own") == F.col("mark")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
-    return rows.join(gone, here, "left_anti").select("row.*")
+    return rows.join(decontaminate.small(gone, decontaminate.MOST), here, "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,20 +101,45 @@ def nearby(postings: DataFrame, chosen: DataFrame, slop: int, most: int) -> Data
     return near.select("doc_id", "mark", "wid", F.explode(F.transform(F.filter("by", whole), lambda x: x["start"])).alias("start"))
 
 
+def same_row() -> Column:
+    """Whether a keyed row and a renamed one are of the same (doc_id, mark)."""
+    return (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id"))
+
+
+def renamed(keys: DataFrame) -> DataFrame:
+    return keys.withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
+
+
 def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW, rarest: int = RAREST, most: int = MOST, slop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(doc_id, mark, n_words, hits: array of (start, n, wid)) for each document, the items' windows, and with a slop (doc_id, mark, wid) of proximity matches."""
+    """(doc_id, mark, n_words, hits: array of (start, n, wid)) of each (doc_id, mark) with a hit, the items' windows, and with a slop (doc_id, mark, wid) of proximity matches.
+
+    Up to ``most`` documents with candidates are told to the scan, so that no other text is shuffled or cut into words again."""
     rows, wins = keyed(docs), settled(windows(items, length))
     chosen = anchors(rows, wins, rarest, most)
     postings = index(rows, chosen, most)
-    met = candidates(postings, chosen, most)
+    met = settled(candidates(postings, chosen, most))
     near = None if slop is None else nearby(postings, chosen, slop, most).select("doc_id", "mark", "wid").distinct()
     phrases = wins.select("wid", "ws").dropDuplicates(["wid"])
+    keys = met.select("doc_id", "mark").distinct()
+    if keys.limit(most + 1).count() <= most:
+        rows = rows.join(F.broadcast(renamed(keys)), same_row(), "left_semi")
     # a document's candidates are fewer than its words times the windows of one first term
-    found = met.join(phrases, "wid").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "wid", "ws")).alias("met")).withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
-    joined = rows.join(found, (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").select("doc_id", "mark", words(F.col("t")).alias("ws"), "met")
+    found = renamed(met.join(phrases, "wid").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "wid", "ws")).alias("met")))
+    joined = rows.join(found, same_row()).select("doc_id", "mark", words(F.col("t")).alias("ws"), "met")
     exact = F.filter("met", lambda c: F.slice("ws", c["start"] + 1, F.size(c["ws"])) == c["ws"])
     true = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["ws"]).alias("n"), c["wid"].alias("wid")))
-    return joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<start:int,n:int,wid:bigint>>")).alias("hits")), wins, near
+    held = joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), true.alias("hits")).filter(F.size("hits") > 0)
+    return held.dropDuplicates(["doc_id", "mark"]), wins, near
+
+
+def is_contaminated(share: int = SHARE) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) -> DataFrame:
+    """doc_id, mark of the contaminated documents alone, each once: report()'s, without a row for the others."""
+    found, _, _ = hits(docs, items, **options)
+    return found.select("doc_id", "mark", "n_words", covered(F.col("hits")).alias("n_hit")).filter(is_contaminated(share)).select("doc_id", "mark")
 
 
 def report(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) -> DataFrame:
@@ -122,16 +147,16 @@ def report(docs: DataFrame, items: DataFrame, share: int = SHARE, **options) ->
 
     With a slop also n_near: the items that have a window of which a proximity match stands in the document."""
     found, wins, near = hits(docs, items, **options)
-    rows = settled(found.select("doc_id", "mark", "n_words", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")))
+    held = settled(found.select("doc_id", "mark", covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")))
     owners = wins.select("wid", "item_id").distinct()
     item = F.col("item_id").cast("string")
-    met = rows.filter(F.size("wids") > 0).select("doc_id", "mark", F.explode("wids").alias("wid"), F.lit(True).alias("exact"))
-    met = met if near is None else met.unionByName(near.withColumn("exact", F.lit(False)))
-    of_doc = [F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.count_distinct(F.when(~F.col("exact"), item)).alias("n_near")]
-    named = met.join(owners, "wid").groupBy("doc_id", "mark").agg(*of_doc[: 1 if near is None else 2])
-    named = named.withColumnsRenamed({"doc_id": "other_id", "mark": "other_mark"})
-    out = rows.join(named, (F.col("mark") == F.col("other_mark")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "mark", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *([] if near is None else [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]))
+    met = held.select("doc_id", "mark", "n_hit", F.explode("wids").alias("wid"), F.lit(True).alias("exact"))
+    met = met if near is None else met.unionByName(near.withColumns({"n_hit": F.lit(None).cast("long"), "exact": F.lit(False)}))
+    of_doc = [F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.count_distinct(F.when(~F.col("exact"), item)).alias("n_near")]
+    named = renamed(met.join(owners, "wid").groupBy("doc_id", "mark").agg(*of_doc[: 2 if near is None else 3]))
+    rows = keyed(docs).select("doc_id", "mark", F.size(words(F.col("t"))).cast("long").alias("n_words"))
+    out = rows.join(named, same_row(), "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select("doc_id", "mark", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", is_contaminated(share).alias("contaminated"), *([] if near is None else [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = SLOP, length: int = WINDOW, rarest: int = 3, most: int = MOST) -> DataFrame:

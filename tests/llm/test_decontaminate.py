@@ -1,6 +1,8 @@
 import random
 import re
+import tempfile
 
+from corpus_pipeline import decontamination_stage
 from docsieve.llm import decontaminate
 from docsieve.llm.queries import ORACLE, QUERIES
 
@@ -79,3 +81,36 @@ def test_near_items(spark, edge, none):
 def test_native(spark, edge):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert not re.search("Python|Pandas|Arrow", decontaminate.report(edge, items)._jdf.queryExecution().toString())
+
+
+def shuffled(spark):
+    """Bytes that all tasks have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_stay(spark):
+    """Documents without a candidate are neither shuffled nor cut into words for the verification, and what goes is told to the scan."""
+    rng = random.Random(3)
+    item = " ".join(f"item{k}" for k in range(13))
+    plain = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(2000)), "en") for i in range(60)]  # 1.9 MB
+    docs = spark.createDataFrame([*plain, (97, item, "en"), (98, item.replace("item3", "x"), "en"), (99, item.upper(), "de"), (99, item.upper(), "fr"), (None, item, "en")], "doc_id long, text string, lang string").repartition(3).cache()
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert docs.count() == 65
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        with tempfile.TemporaryDirectory() as folder:
+            bench.write.parquet(f"{folder}/benchmark.parquet")
+            left = decontamination_stage(spark, docs, folder).collect()
+        assert shuffled(spark) - before < 300_000
+        for most in (200_000, 0):  # beyond most the same rows by shuffles
+            gone = [tuple(r) for r in decontaminate.contaminated(docs, bench, most=most).select("doc_id").collect()]
+            assert sorted(gone, key=repr) == [(97,), (99,), (None,)]
+            assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench, most=most).collect()} == {i: 13 * (i in (97, 99, None)) for i in (*range(60), 97, 98, 99, None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        docs.unpersist()
+    assert sorted(r["doc_id"] for r in left) == [*range(60), 98]
