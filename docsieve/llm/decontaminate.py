@@ -128,8 +128,9 @@ def hits(docs: DataFrame, items: DataFrame, length: int = WINDOW, rarest: int =
     joined = rows.join(found, same_row()).select("doc_id", "mark", words(F.col("t")).alias("ws"), "met")
     exact = F.filter("met", lambda c: F.slice("ws", c["start"] + 1, F.size(c["ws"])) == c["ws"])
     true = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["ws"]).alias("n"), c["wid"].alias("wid")))
-    held = joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), true.alias("hits")).filter(F.size("hits") > 0)
-    return held.dropDuplicates(["doc_id", "mark"]), wins, near
+    held = joined.select("doc_id", "mark", F.size("ws").cast("long").alias("n_words"), true.alias("hits"))
+    # filtered after the aggregate: below it the filter would cut the text into words again for each candidate
+    return held.dropDuplicates(["doc_id", "mark"]).filter(F.size("hits") > 0), wins, near
 
 
 def is_contaminated(share: int = SHARE) -> Column:
